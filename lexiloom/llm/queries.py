@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import license_scan, media_ts, packing, simhash_dedup, token_output
+from lexiloom.llm import decontaminate, license_scan, line_dedup, lm_score, media_ts, packing, quality_crf, simhash_dedup, substring_dedup, token_output
 from lexiloom.llm.common import scratch
 
 
@@ -24,10 +24,31 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("line_licenses", F.array_join("line_licenses", ","))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and benchmark item that it leaks."""
+    return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its remaining text."""
+    return line_dedup.dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(documents(spark, sf_dir), scratch(spark, "trie"))
+
+
+def op6_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = quality_crf.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    found = quality_crf.score(docs, model)
+    return found.select("doc_id", quality_crf.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_output.write_tokens(documents(spark, sf_dir), scratch(spark, "token-files"))
     return token_output.read_tokens(spark, files)
@@ -37,12 +58,17 @@ def op8_media_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_ts.media_features(media_ts.store_media(documents(spark, sf_dir))).drop("pts", "random_access")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every occurrence of a repeated paragraph, with its class and the document that keeps it."""
+    return substring_dedup.repeated_paragraphs(documents(spark, sf_dir))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), with_ids=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op4_simhash_dedup, op7_token_output, op8_media_ts, op10_packing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_decontaminate, op3_line_dedup, op4_simhash_dedup, op5_lm_score, op6_quality_crf, op7_token_output, op8_media_ts, op9_substring_dedup, op10_packing)}
 
 
 def _license_sql() -> str:
