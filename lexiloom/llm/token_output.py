@@ -12,10 +12,13 @@ doc_ids stay separate documents, ordered by text; an empty table gives an empty
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -33,37 +36,108 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet of BPE vocabularies: printable Latin-1 stands for itself, the rest from U+0100 on."""
+    odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+    return {b: chr(256 + i) for i, b in enumerate(odd)}
+
+
 class WordEncoder:
     """Encodes whole texts with the tokenizers library, remembering the ids of each blank-separated chunk.
 
-    Valid for vocabularies that drop white space (no token spans a blank), as the default one does.
-    The memory is emptied once it holds ``remember`` chunks, so that it stays bounded.
+    Valid for vocabularies that lower-case, drop white space (no token spans a blank) and mark word ends, as
+    the default one does. Chunks are remembered in two generations of at most half of ``remember``
+    each, so the memory is bounded and frequent chunks stay. Chunks of Latin letters go to the
+    vocabulary's model without its normaliser and pattern, which would leave them as they are; one closing comma or
+    full stop is a token of its own in any case. All other chunks take the whole way.
     """
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.size, self.remember, self.known = size, remember, {"": b""}
+        self.size, self.remember = size, remember
+        self.letters = byte_letters()
+        model = json.loads(self.tokenizer.to_str())
+        suffix = model["model"].get("end_of_word_suffix")
+        self.plain = None
+        if suffix and "lowercase" in json.dumps(model["normalizer"]).lower():
+            self.plain = Tokenizer.from_str(json.dumps(model | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
+            self.ends = np.zeros(size, bool)
+            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+        self.known, self.old = {"": b""}, {}
+        self.closing = dict(zip(",.", self._whole([",", "."]), strict=True))
+
+    def _whole(self, chunks: list[str]) -> list[bytes]:
+        return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Words in the byte-level alphabet, many in one call; their last tokens tell them apart."""
+        out, width = [], self.dtype.itemsize
+        for lo in range(0, len(words), 500):
+            ids = np.array(self.plain.encode_batch_fast([" ".join(words[lo : lo + 500])], add_special_tokens=False)[0].ids, self.dtype)
+            ends, raw = (np.flatnonzero(self.ends[ids]) + 1) * width, ids.tobytes()
+            ends = ends.tolist()
+            out += [raw[a:b] for a, b in zip([0, *ends], ends)]
+        return out
+
+    def _learn(self, new: set[str]) -> None:
+        known, old, closing, letters = self.known, self.old, self.closing, self.letters
+        words, other, closed = {}, [], []
+        for c in new:
+            if (got := old.get(c)) is not None:
+                known[c] = got
+                continue
+            if c[-1] in closing and c[:-1].isalpha() and "\u0130" not in c:
+                closed.append(c)
+                c = c[:-1]
+                if c in known or c in words:
+                    continue
+                if (got := old.get(c)) is not None:
+                    known[c] = got
+                    continue
+            if self.plain is None or not c.isalpha():
+                other.append(c)
+            elif c.isascii():
+                words[c] = c.lower()
+            elif max(c) < "\u0250" and is_normalized("NFC", c) and "\u0130" not in c:
+                words[c] = c.lower().encode().decode("latin-1").translate(letters)
+            else:
+                other.append(c)
+        known.update(zip(words, self._words(list(words.values())), strict=True))
+        known.update(zip(other, self._whole(other), strict=True))
+        for c in closed:
+            known[c] = known[c[:-1]] + closing[c[-1]]
 
     def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
         """Each text's ids and the end id, as little-endian unsigned integers of ``dtype``."""
         end, out = np.array([end_id], self.dtype).tobytes(), []
-        for at in range(0, len(texts), 64):
-            split = [(t or "").split(" ") for t in texts[at : at + 64]]
-            if len(self.known) > self.remember:
-                self.known = {"": b""}
-            known = self.known
-            new = list(set().union(*split).difference(known))
-            for chunk, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[chunk] = np.array(got.ids, self.dtype).tobytes()
-            out += [b"".join([known[c] for c in chunks]) + end for chunks in split]
+        for at in range(0, len(texts), 256):
+            if len(self.known) > self.remember // 2:
+                self.known, self.old = {"": b""}, self.known
+            flat, cuts, known = [], [0], self.known
+            for t in texts[at : at + 256]:
+                t = (t or "").replace("\n", " ")
+                # the vocabulary lower-cases; doing so first makes fewer different chunks
+                flat += (t.lower() if t.isascii() else t).split(" ")
+                cuts.append(len(flat))
+            got = list(map(known.get, flat))
+            if new := {c for c, v in zip(flat, got) if v is None}:
+                self._learn(new)
+                got = [known[c] if v is None else v for c, v in zip(flat, got)]
+            out += [b"".join(got[a:b]) + end for a, b in zip(cuts, cuts[1:])]
         return out
 
 
+@lru_cache(2)
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder per Python worker: later tasks find the chunks that earlier ones have learnt."""
+    return WordEncoder(path)
+
+
 @dataclass(frozen=True)
 class TokenFiles:
     """What ``read_tokens`` needs: the folder, the type of an id, and a row per part."""
@@ -81,7 +155,7 @@ def write_tokens(docs: DataFrame, folder: str, *, end_id: int = 1, path: str | N
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        part, encoder = TaskContext.get().partitionId(), WordEncoder(path)
+        part, encoder = TaskContext.get().partitionId(), encoder_of(path)
         blobs, ids, nulls = [], [], 0
         for b in batches:
             blobs += encoder.encode(b["text"].tolist(), end_id)
@@ -103,7 +177,7 @@ def write_tokens(docs: DataFrame, folder: str, *, end_id: int = 1, path: str | N
     for part, count, nulls, tokens in rows:
         parts.append((part, count, nulls, tokens, base))
         base += tokens
-    return TokenFiles(folder, WordEncoder(path).dtype.str, tuple(parts))
+    return TokenFiles(folder, encoder_of(path).dtype.str, tuple(parts))
 
 
 def read_tokens(spark, files: TokenFiles, *, with_ids: bool = False) -> DataFrame:
