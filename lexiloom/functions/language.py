@@ -18,7 +18,8 @@ def shares(text: Column) -> dict[str, Column]:
     """Share of a language's function words among the text's words."""
     words = F.filter(F.split(F.lower(F.substring(text, 1, 4000)), r"[^\p{L}]+"), lambda w: w != "")
     n = F.greatest(F.lit(1), F.size(words))
-    return {lang: F.size(F.filter(words, lambda w, xs=xs: w.isin(*xs.split()))) / n for lang, xs in WORDS.items()}
+    known = lambda listed: F.size(F.filter(words, lambda w: w.isin(*listed)))
+    return {lang: known(xs.split()) / n for lang, xs in WORDS.items()}
 
 
 def is_english(text: Column, least: float = 0.1) -> Column:

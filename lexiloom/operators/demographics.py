@@ -34,7 +34,7 @@ def aggregate_users(df: DataFrame, *, year: Column, order: tuple[str, ...], key:
     raw = [c for c in df.columns if c.startswith("DMG") and "Raw" in c and c != "DMGRawBirthyearExtractions"]
     other = [c for c in df.columns if c.startswith("DMG") and c not in raw and c not in ("DMGRawBirthyearExtractions", "DMGMajorityBirthyear")]
     rows = df.where(F.col(key).isNotNull()).withColumn("_year", year)
-    births = F.filter(F.transform(F.split(F.coalesce("DMGRawBirthyearExtractions", F.lit("")), r"\|"), F.trim), lambda x: x != "")
+    births = F.filter(F.transform(F.split(F.coalesce("DMGRawBirthyearExtractions", F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
     rows = rows.withColumn("_births", births)
     listed = F.transform(F.array_sort(F.collect_list(F.struct(*order, "_births"))), lambda x: x["_births"])
     out = rows.groupBy(key).agg(F.max("_year").alias("_year"), F.flatten(listed).alias("_births"), *[mode(c).alias(c) for c in other])

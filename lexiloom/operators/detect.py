@@ -167,7 +167,12 @@ def dictionary_matches(df: DataFrame, key: str, text: str, category: str, dictio
     """
     rules = [(lead, tail) for xs, lead, tail in GRAMMAR[category] if xs == list_name]
     body = strip(F.coalesce(F.col(text), F.lit("")))
-    spots = [F.transform(F.regexp_extract_all(body, F.lit(rf"{FLAGS}{lead}(?=((?s:.{{1,200}})))"), F.lit(1)), lambda s, n=n: F.struct(F.lit(n).alias("rule"), s.alias("s"))) for n, (lead, _) in enumerate(rules)]
+
+    def spot(n: int, lead: str) -> Column:
+        tails = F.regexp_extract_all(body, F.lit(rf"{FLAGS}{lead}(?=((?s:.{{1,200}})))"), F.lit(1))
+        return F.transform(tails, lambda s: F.struct(F.lit(n).alias("rule"), s.alias("s")))
+
+    spots = [spot(n, lead) for n, (lead, _) in enumerate(rules)]
     found = df.select(key, F.posexplode(F.concat(*spots)).alias("at", "spot")).select(key, "at", "spot.rule", "spot.s")
     heads = F.array(*[F.regexp_extract("s", rf"(?U)^(\w+(?:\W+\w+){{{n}}})", 1) for n in range(longest)])
     tries = found.select(key, "at", "rule", "s", F.explode(F.array_distinct(heads)).alias("head")).where("head <> ''").withColumn("term", F.lower("head"))
