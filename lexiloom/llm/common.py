@@ -7,9 +7,10 @@ recomputation of its tasks and never a failed job.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,12 +26,20 @@ BROADCAST_ROWS = 200_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; only where none is configured (tests) a local one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    small_batches(spark)
     if not named:
         named = "file://" + tempfile.mkdtemp(prefix="lexiloom-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches to Python are held in both processes, several times over: 16 MB each, unless the session has less."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, "16m")
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
@@ -40,9 +49,8 @@ def stored(df: DataFrame, what: str, *, partition_by: tuple[str, ...] = ()) -> D
 
     Shuffle files of the finished write are released at once, since only the table is needed.
     """
-    spark = df.sparkSession
-    path, key = scratch(spark, what), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
+    spark, path, key = df.sparkSession, scratch(df.sparkSession, what), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
     try:
         spark.conf.set(key, "true")
         df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
@@ -67,6 +75,29 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def release() -> None:
+    """Give memory that a worker no longer uses back to the system; idle workers count as well."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """A partition's function that releases memory at its end."""
+
+    def inner(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return inner
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
@@ -76,42 +107,58 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """Fewer tasks for a counted table that is small for the session's number of shuffle partitions."""
+    n = max(8, rows // 25_000)
+    return df.coalesce(n) if n < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Distributed union-find: (a, b) links to (id, component), component the smallest reachable id.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014). A step groups with ``min``
     (combined map-side) and joins back, so a node with very many neighbours is no single task's
-    list. Ids that have no link do not appear. Loops end when the edge set stops changing.
+    list. Ids that have no link do not appear. Loops end when every id points at a root.
     """
-    edges = stored(links.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    pairs = links.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges = stored(pairs.distinct(), "edges")
 
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
+    def settled(df: DataFrame, rows: int) -> bool:
+        """Whether every id has one link, and that to an id without any."""
+        twice = few(df.groupBy("a").count().where("count > 1").select("a"), rows)
+        chained = df.join(small(few(df.select(F.col("a").alias("b")).distinct(), rows), rows), "b", "left_semi").select("a")
+        return twice.unionByName(chained).isEmpty()
 
-    seen = mark(edges)
+    n = edges.count()
     for _ in range(max_rounds):
-        if not seen[0]:
+        if settled(edges, n):
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        step = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        new = stored(step, "edges")
-        now = mark(new)
+        least = few(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), 2 * n)
+        large = both.where("b > a").join(small(least, 2 * n), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        least = few(large.groupBy("a").agg(F.min("b").alias("m")), n)
+        joined = large.join(small(least, n), "a")
+        step = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b")
+        new = stored(few(step.distinct(), n), "edges")
         drop(edges)
-        edges, same = new, now == seen
-        seen = now
-        if same:
-            break
+        edges, n = new, new.count()
     else:
         raise RuntimeError("union-find did not settle")
-    roots = edges.select(F.col("b").alias("id")).distinct().withColumn("component", F.col("id"))
+    roots = few(edges.select(F.col("b").alias("id")).distinct(), n).withColumn("component", F.col("id"))
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 2) -> DataFrame:
+def joined_components(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (id, component) after more links (a, b): only whole components go through the union-find again."""
+    of = lambda name: comp.select(F.col("id").alias(name), F.col("component").alias(f"c{name}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    up = stored(components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))), "joined")
+    moved = comp.join(up.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left")
+    new = up.join(comp.select("id"), "id", "left_anti")
+    return moved.select("id", F.coalesce("to", "component").alias("component")).unionByName(new.select("id", "component"))
+
+
+def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 2, tokens: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Components of all verified pairs that share a bucket, without emitting all pairs of a bucket.
 
     ``members`` has (key, id), one row per membership; ``verify`` keeps those rows of (a, b) that
@@ -120,15 +167,17 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], r
     1. each bucket's members are verified against its smallest member;
     2. for ``rounds`` times, buckets that still span several components verify the members outside
        their largest component against another representative of that component;
-    3. what is left compares members of *different* components only, all of them.
+    3. what is left compares members of *different* components only: all pairs of a bucket or, with
+       ``tokens``, all that share a token. That function turns (id, c) into a table (id, c, token) with a
+       row for each of an id's tokens; every link must share one (prefix filtering).
 
     A bucket of n near copies costs about n comparisons; only pairs that no chain of links joins
     are compared one by one. Returns (id, component) for linked ids.
     """
-    spark = members.sparkSession
     sized = members.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
     open_ = stored(members.join(sized, "key").select("key", "id", "rep", "n"), "members")
-    pairs = open_.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
+    rows = open_.count()
+    pairs = few(open_.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct(), rows)
     found = stored(verify(pairs), "links")
     comp = stored(components(found), "components")
     # two members: the one pair was compared; larger buckets go on until one component is left
@@ -136,30 +185,34 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], r
     drop(open_, found)
 
     def labelled(df: DataFrame) -> DataFrame:
-        lab = df.join(comp, "id", "left").select("key", "id", "rep", F.coalesce("component", "id").alias("c"))
-        mixed = lab.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-        return stored(lab.join(mixed, "key", "left_semi"), "members")
+        lab = few(df.join(comp, "id", "left").select("key", "id", "rep", F.coalesce("component", "id").alias("c")), rows)
+        mixed = few(lab.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"), rows)
+        return stored(few(lab.join(mixed, "key", "left_semi"), rows), "members")
 
     for r in range(1, rounds + 2):
         left = labelled(wide)
         drop(wide)
         wide = left.select("key", "id", "rep")
         wide._scratch = left._scratch
-        if left.isEmpty():
+        rows = left.count()
+        if not rows:
             break
         if r <= rounds:
-            per = left.groupBy("key", "c").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", F.lit(r)), "id"))["id"].alias("to"))
-            best = per.groupBy("key").agg(F.max(F.struct("n", "c", "to")).alias("best")).where("best.n > 1").select("key", F.col("best.c").alias("top"), F.col("best.to").alias("to"))
+            per = few(left.groupBy("key", "c").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", F.lit(r)), "id"))["id"].alias("to")), rows)
+            best = few(per.groupBy("key").agg(F.max(F.struct("n", "c", "to")).alias("best")).where("best.n > 1").select("key", F.col("best.c").alias("top"), F.col("best.to").alias("to")), rows)
             pairs = left.join(best, "key").where("c <> top").select("id", "to")
+        elif tokens:
+            own = tokens(few(left.select("id", "c").distinct(), rows))
+            pairs = own.join(own.select("token", F.col("id").alias("to"), F.col("c").alias("c2")), "token").where("c < c2").select("id", "to")
         else:
             left = left.select("key", "id", "rep", "c")
             other = left.select("key", F.col("id").alias("to"), F.col("c").alias("c2"), F.col("rep").alias("rep2"))
             # pairs with the bucket's smallest member were compared in the first step
             pairs = left.join(other, "key").where("c < c2 and id <> rep and to <> rep2").select("id", "to")
-        pairs = pairs.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct()
+        pairs = few(pairs.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct(), rows)
         more = stored(verify(pairs), "links")
         if not more.isEmpty():
-            again = stored(components(more.select("a", "b").unionByName(comp.select(F.col("id").alias("a"), F.col("component").alias("b")))), "components")
+            again = stored(joined_components(comp, more), "components")
             drop(comp)
             comp = again
         drop(more)
