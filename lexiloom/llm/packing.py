@@ -19,11 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import stored
-from lexiloom.llm.token_output import WordEncoder, tokenizer_path
+from lexiloom.llm.common import stored, tidy
+from lexiloom.llm.token_output import encoder_of, tokenizer_path
 
 K1, B = 1.2, 0.75
 
@@ -31,31 +32,40 @@ K1, B = 1.2, 0.75
 def encoded(docs: DataFrame, end_id: int, path: str) -> DataFrame:
     """(doc_id, ids): ids as little-endian unsigned integers, end id included."""
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = WordEncoder(path)
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoder_of(path)
         for b in batches:
-            for lo in range(0, len(b), 512):
-                part = b.iloc[lo : lo + 512]
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "ids": encoder.encode(part["text"].tolist(), end_id)})
+            for lo, texts in encoder.blocks(b.column("text")):
+                flat, offsets = encoder.block(texts, end_id)
+                places = pa.py_buffer((offsets * encoder.dtype.itemsize).astype(np.int32).tobytes())
+                ids = pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, places, pa.py_buffer(flat.tobytes())])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, len(texts)), ids], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(encode, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(encode), "doc_id long, ids binary")
+
+
+def distinct(ids: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Each id once; ``place`` is scratch space with a cell per id of the vocabulary."""
+    at = np.arange(len(ids))
+    place[ids] = at
+    return ids[place[ids] == at]
 
 
 def statistics(tokens: DataFrame, dtype: np.dtype, size: int) -> tuple[int, int, np.ndarray]:
     """Documents, tokens and document frequencies; at most ``size`` + 2 rows reach the driver."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = np.zeros(size + 2, np.int64)
+        seen, place = np.zeros(size + 2, np.int64), np.zeros(size, np.int64)
         for b in batches:
             for raw in b["ids"]:
                 ids = np.frombuffer(raw, dtype)
                 seen[size : size + 2] += 1, len(ids)
-                seen[np.flatnonzero(np.bincount(ids, minlength=size)) if len(ids) > 5000 else np.unique(ids)] += 1
+                seen[distinct(ids, place)] += 1
         at = np.flatnonzero(seen)
         yield pd.DataFrame({"term": at, "n": seen[at]})
 
     df = np.zeros(size + 2, np.int64)
-    for term, n in tokens.select("ids").mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n")).collect():
+    for term, n in tokens.select("ids").mapInPandas(tidy(count), "term long, n long").groupBy("term").agg(F.sum("n")).collect():
         df[term] = n
     return int(df[size]), int(df[size + 1]), df[:size]
 
@@ -70,28 +80,40 @@ def pack_shard(ids: list[np.ndarray], idf: np.ndarray, mean: float, window: int)
         left[d] = len(x) - whole
     length = np.array([len(x) for x in ids], np.int64)
     start = length - left
-    unique = [np.unique(x, return_counts=True) for x in ids]
-    terms = [u for u, _ in unique]
+    place, terms, counts = np.zeros(len(idf), np.int64), [], []
+    for x in ids:
+        u = distinct(x, place)
+        place[u] = np.arange(len(u))
+        terms.append(u)
+        counts.append(np.bincount(place[x], minlength=len(u)))
     doc = np.repeat(np.arange(n), [len(u) for u in terms])
-    term, tf = np.concatenate(terms).astype(np.int64), np.concatenate([c for _, c in unique]).astype(np.float64)
+    term, tf = np.concatenate(terms).astype(np.int64), np.concatenate(counts).astype(np.float64)
     order = np.argsort(term, kind="stable")
     doc, tf, term = doc[order], tf[order], term[order]
     weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean))
     first = np.searchsorted(term, np.arange(len(idf) + 1))
+    indexed = n
 
     unused = left > 0
     seeds = iter(np.argsort(-left, kind="stable"))
     seed = next((d for d in seeds if unused[d]), None)
     while seed is not None:
         take, room, rest = [], window, None
+        if (free := int(unused.sum())) * 2 < indexed:  # used documents leave the index
+            stay = unused[doc]
+            doc, weight, term, indexed = doc[stay], weight[stay], term[stay], free
+            first = np.searchsorted(term, np.arange(len(idf) + 1))
         chosen = [seed]
         if left[seed] < room:
-            spans = [(first[t], first[t + 1]) for t in terms[seed]]
-            score = np.bincount(np.concatenate([doc[a:b] for a, b in spans]), np.concatenate([weight[a:b] for a, b in spans]), n)
+            begin = first[terms[seed]]
+            sizes = first[terms[seed].astype(np.int64) + 1] - begin
+            ends = np.cumsum(sizes)
+            postings = np.arange(ends[-1]) + np.repeat(begin - ends + sizes, sizes)
+            score = np.bincount(doc[postings], weight[postings], n)
             score[~unused] = -1
             score[seed] = -1
             # only as many of the best as can be needed; each holds one token at least
-            ranked = np.argsort(-score, kind="stable")[: int(unused.sum()) - 1]
+            ranked = np.argsort(-score, kind="stable")[: free - 1]
             enough = int(np.searchsorted(np.cumsum(left[ranked]), room - left[seed])) + 1
             chosen += ranked[:enough].tolist()
         for d in chosen:
@@ -115,7 +137,7 @@ def pack(docs: DataFrame, *, window: int = 4096, end_id: int = 2, path: str | No
     The sequence id is the shard's number times 2**32 plus the window's number in the shard.
     """
     path = path or tokenizer_path()
-    encoder = WordEncoder(path)
+    encoder = encoder_of(path)
     dtype, size = encoder.dtype, encoder.size
     tokens = stored(encoded(docs, end_id, path), "tokens")
     count, total, df = statistics(tokens, dtype, size)

@@ -14,18 +14,21 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm import shared_files
+from lexiloom.llm.common import tidy
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -36,10 +39,18 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def byte_letters() -> dict[int, str]:
-    """The byte-level alphabet of BPE vocabularies: printable Latin-1 stands for itself, the rest from U+0100 on."""
+#: Words that the vocabulary's normaliser only lower-cases and its pattern leaves whole.
+LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+
+
+def byte_letters() -> np.ndarray:
+    """Code points of the byte-level alphabet of BPE vocabularies: printable Latin-1 stands for itself, the rest from
+    U+0100 on. The blank, which separates words, stays."""
+    out = np.arange(256, dtype="<u4")
     odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
-    return {b: chr(256 + i) for i, b in enumerate(odd)}
+    out[odd] = 256 + np.arange(len(odd))
+    out[32] = 32
+    return out
 
 
 class WordEncoder:
@@ -52,7 +63,7 @@ class WordEncoder:
     full stop is a token of its own in any case. All other chunks take the whole way.
     """
 
-    def __init__(self, path: str, remember: int = 1_000_000):
+    def __init__(self, path: str, remember: int = 2_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -75,60 +86,89 @@ class WordEncoder:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> list[bytes]:
-        """Words in the byte-level alphabet, many in one call; their last tokens tell them apart."""
+        """Words of Latin letters, many in one call; their last tokens tell them apart."""
         out, width = [], self.dtype.itemsize
         for lo in range(0, len(words), 500):
-            ids = np.array(self.plain.encode_batch_fast([" ".join(words[lo : lo + 500])], add_special_tokens=False)[0].ids, self.dtype)
+            raw = np.frombuffer(" ".join(words[lo : lo + 500]).lower().encode(), np.uint8)
+            ids = np.array(self.plain.encode_batch_fast([self.letters[raw].tobytes().decode("utf-32-le")], add_special_tokens=False)[0].ids, self.dtype)
             ends, raw = (np.flatnonzero(self.ends[ids]) + 1) * width, ids.tobytes()
             ends = ends.tolist()
             out += [raw[a:b] for a, b in zip([0, *ends], ends)]
         return out
 
-    def _learn(self, new: set[str]) -> None:
-        known, old, closing, letters = self.known, self.old, self.closing, self.letters
-        words, other, closed = {}, [], []
+    def _learn(self, new: list[str]) -> None:
+        known, old, closing, latin = self.known, self.old, self.closing, LATIN.fullmatch
+        words, other, closed = set(), [], []
         for c in new:
             if (got := old.get(c)) is not None:
                 known[c] = got
-                continue
-            if c[-1] in closing and c[:-1].isalpha() and "\u0130" not in c:
+            elif self.plain is None:
+                other.append(c)
+            elif latin(c):
+                words.add(c)
+            elif c[-1] in closing and latin(c[:-1]):
                 closed.append(c)
                 c = c[:-1]
-                if c in known or c in words:
-                    continue
-                if (got := old.get(c)) is not None:
-                    known[c] = got
-                    continue
-            if self.plain is None or not c.isalpha():
-                other.append(c)
-            elif c.isascii():
-                words[c] = c.lower()
-            elif max(c) < "\u0250" and is_normalized("NFC", c) and "\u0130" not in c:
-                words[c] = c.lower().encode().decode("latin-1").translate(letters)
+                if c not in known:
+                    if (got := old.get(c)) is not None:
+                        known[c] = got
+                    else:
+                        words.add(c)
             else:
                 other.append(c)
-        known.update(zip(words, self._words(list(words.values())), strict=True))
+        words = list(words)
+        known.update(zip(words, self._words(words), strict=True))
         known.update(zip(other, self._whole(other), strict=True))
         for c in closed:
             known[c] = known[c[:-1]] + closing[c[-1]]
 
-    def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
+    def _known(self, chunks: list[str]) -> list[bytes]:
+        if len(self.known) > self.remember // 2:
+            self.known, self.old = {"": b""}, self.known
+        got = list(map(self.known.get, chunks))
+        if missing := [i for i, v in enumerate(got) if v is None]:
+            self._learn([chunks[i] for i in missing])
+            for i in missing:
+                got[i] = self.known[chunks[i]]
+        return got
+
+    def block(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, an end id after each, and the texts' offsets in them. NULL is an empty text.
+
+        Each different chunk is looked up once; the rest is array work.
+        """
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        # the vocabulary lower-cases; doing so first makes fewer different chunks
+        split = pc.split_pattern(pc.ascii_lower(pc.replace_substring(texts, "\n", " ")), " ")
+        coded = split.flatten().dictionary_encode()
+        got, at = self._known(coded.dictionary.to_pylist()), coded.indices.to_numpy()
+        got.append(np.array([end_id], self.dtype).tobytes())
+        sizes = np.fromiter(map(len, got), np.int64, len(got)) // self.dtype.itemsize
+        ids, starts = np.frombuffer(b"".join(got), self.dtype), np.cumsum(sizes) - sizes
+        # the end id is one more chunk of every text
+        cuts = split.offsets.to_numpy()[1:] - split.offsets[0].as_py()
+        at = np.insert(at.astype(np.int64), cuts, len(got) - 1)
+        each = sizes[at]
+        ends = np.cumsum(each)
+        flat = ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[at] - ends + each, each)]
+        return flat, np.append(0, ends[cuts + np.arange(len(cuts))])
+
+    def blocks(self, texts: pa.Array, size: int = 12_000_000) -> Iterator[tuple[int, pa.Array]]:
+        """Slices of about ``size`` bytes, with their places."""
+        total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + size, "right")))
+            yield lo, texts.slice(lo, hi - lo)
+            lo = hi
+
+    def encode(self, texts: list[str | None] | pa.Array, end_id: int, size: int = 12_000_000) -> list[bytes]:
         """Each text's ids and the end id, as little-endian unsigned integers of ``dtype``."""
-        end, out = np.array([end_id], self.dtype).tobytes(), []
-        for at in range(0, len(texts), 256):
-            if len(self.known) > self.remember // 2:
-                self.known, self.old = {"": b""}, self.known
-            flat, cuts, known = [], [0], self.known
-            for t in texts[at : at + 256]:
-                t = (t or "").replace("\n", " ")
-                # the vocabulary lower-cases; doing so first makes fewer different chunks
-                flat += (t.lower() if t.isascii() else t).split(" ")
-                cuts.append(len(flat))
-            got = list(map(known.get, flat))
-            if new := {c for c, v in zip(flat, got) if v is None}:
-                self._learn(new)
-                got = [known[c] if v is None else v for c, v in zip(flat, got)]
-            out += [b"".join(got[a:b]) + end for a, b in zip(cuts, cuts[1:])]
+        out = []
+        for _, part in self.blocks(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), size):
+            flat, offsets = self.block(part, end_id)
+            raw, cuts = flat.tobytes(), (offsets * self.dtype.itemsize).tolist()
+            out += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
         return out
 
 
@@ -152,27 +192,31 @@ def write_tokens(docs: DataFrame, folder: str, *, end_id: int = 1, path: str | N
     path, spark = path or tokenizer_path(), docs.sparkSession
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, encoder = TaskContext.get().partitionId(), encoder_of(path)
-        blobs, ids, nulls = [], [], 0
+        ids, lengths, doc, nulls = [], [], [], 0
         for b in batches:
-            blobs += encoder.encode(b["text"].tolist(), end_id)
-            nulls += int(b["doc_id"].isna().sum())
-            ids.append(b["doc_id"].fillna(0).astype("int64").to_numpy())
-        if not blobs:
+            for lo, texts in encoder.blocks(b.column("text")):
+                flat, offsets = encoder.block(texts, end_id)
+                ids.append(flat)
+                lengths.append(np.diff(offsets))
+                known = b.column("doc_id").slice(lo, len(texts))
+                nulls += known.null_count
+                doc.append(pc.fill_null(known, 0).to_numpy())
+        if not ids:
             return
-        lengths = np.array([len(x) // encoder.dtype.itemsize for x in blobs], np.uint64)
-        offsets = np.concatenate([[np.uint64(0)], np.cumsum(lengths, dtype=np.uint64)])
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
         name = f"{folder}/tokens-{part:05d}"
-        shared_files.write(f"{name}.bin", *blobs)
+        shared_files.write(f"{name}.bin", *ids)
         shared_files.write(f"{name}.off", offsets.astype("<u8").tobytes())
-        shared_files.write(f"{name}.doc", np.concatenate(ids).astype("<i8").tobytes())
-        yield pd.DataFrame({"part": [part], "docs": [len(blobs)], "nulls": [nulls], "tokens": [int(offsets[-1])]})
+        shared_files.write(f"{name}.doc", np.concatenate(doc).astype("<i8").tobytes())
+        row = {"part": pa.array([part], pa.int32()), "docs": [len(offsets) - 1], "nulls": [nulls], "tokens": [int(offsets[-1])]}
+        yield pa.RecordBatch.from_pydict(row)
 
     dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
-    rows = sorted(map(tuple, dealt.mapInPandas(write, "part int, docs long, nulls long, tokens long").collect()))
+    rows = sorted(map(tuple, dealt.mapInArrow(tidy(write), "part int, docs long, nulls long, tokens long").collect()))
     parts, base = [], 0
     for part, count, nulls, tokens in rows:
         parts.append((part, count, nulls, tokens, base))
@@ -200,4 +244,4 @@ def read_tokens(spark, files: TokenFiles, *, with_ids: bool = False) -> DataFram
                     yield pd.DataFrame(dict(zip(names, cols + [[x.astype(np.int64) for x in pieces]] * with_ids, strict=True)))
 
     parts = spark.createDataFrame(list(files.parts), "part int, docs long, nulls long, tokens long, base long")
-    return parts.repartition(max(1, len(files.parts))).mapInPandas(read, schema)
+    return parts.repartition(max(1, len(files.parts))).mapInPandas(tidy(read), schema)
