@@ -1,7 +1,7 @@
 """Elias-Fano sequences over memory-mapped arrays, and the container files that hold them.
 
 A non-decreasing sequence keeps its low bits (a whole number of bytes) in an array and its high bits in unary
-in a bit vector. A directory of ones every 256 bits makes ``get`` a select of ones and ``find`` (successor
+in a bit vector. A directory of ones every 64 bits makes ``get`` a select of ones and ``find`` (successor
 search) a select of zeros and a search among the few elements with equal high bits. All
 operations take arrays of queries.
 """
@@ -16,6 +16,8 @@ from lexiloom.llm import shared_files
 
 CHUNK = 1 << 17
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+U1, U2, U3, U4, U7, U8, U255 = map(np.uint64, (1, 2, 3, 4, 7, 8, 255))
+M1, M2, M4, ONES, HIGH = map(np.uint64, (0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F, 0x0101010101010101, 0x8080808080808080))
 #: SELECT[byte, k]: position of the k-th set bit.
 SELECT = np.zeros((256, 8), np.uint8)
 for _byte in range(256):
@@ -56,11 +58,11 @@ def encode(values: np.ndarray, name: str) -> dict[str, np.ndarray]:
     shift = np.uint64(8 * width)
     high = (values >> shift).astype(np.int64)
     size = n + (int(high[-1]) if n else 0) + 1
-    blocks = -(-size // 256) + 1
-    bits = np.zeros(blocks * 256, np.uint8)
+    blocks = -(-size // 64) + 1
+    bits = np.zeros(blocks * 64, np.uint8)
     bits[high + np.arange(n)] = 1
     upper = np.packbits(bits, bitorder="little").view(np.uint64)
-    ones = np.concatenate([[0], np.cumsum(bits.reshape(-1, 256).sum(1, dtype=np.int64))[:-1]])
+    ones = np.concatenate([[0], np.cumsum(bits.reshape(-1, 64).sum(1, dtype=np.int64))[:-1]])
     low = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
     return {f"{name}.upper": upper, f"{name}.ones": ones.astype(np.uint32 if n < 1 << 32 else np.uint64), f"{name}.low": np.ascontiguousarray(low), f"{name}.n": np.array([n, size], np.int64)}
 
@@ -71,28 +73,21 @@ class EliasFano:
         self.n, self.size = map(int, arrays[f"{name}.n"])
         self.width = low.shape[1]
         self.low = low.view({1: "<u1", 2: "<u2", 4: "<u4"}[self.width]).reshape(-1) if self.width in (1, 2, 4) else low
-        self.zeros = np.arange(len(self.ones)) * 256 - self.ones
+        self.zeros = np.arange(len(self.ones)) * 64 - self.ones
 
     def _select(self, k: np.ndarray, counts: np.ndarray, invert: bool) -> np.ndarray:
-        block = np.searchsorted(counts, k, "right") - 1
-        left, word = k - counts[block], block * 4
-        at, done = word.copy(), np.zeros(len(k), bool)
-        bits = np.zeros(len(k), np.uint64)
-        for i in range(4):
-            w = self.upper[word + i]
-            w = ~w if invert else w
-            ones = np.bitwise_count(w).astype(np.int64)
-            here = ~done & (left < ones)
-            at[here], bits[here] = word[here] + i, w[here]
-            done |= here
-            left = np.where(done, left, left - ones)
-        octets = bits.astype("<u8").view(np.uint8).reshape(-1, 8)
-        sums = np.cumsum(np.bitwise_count(octets), axis=1, dtype=np.uint8)
-        byte = (sums <= left[:, None]).sum(1)
-        byte = np.minimum(byte, 7)
-        rows = np.arange(len(k))
-        before = np.where(byte > 0, sums[rows, byte - 1], 0)
-        return at * 64 + byte * 8 + SELECT[octets[rows, byte], np.clip(left - before, 0, 7)]
+        """Positions of the k-th ones (zeros): the directory gives the word, bytes' prefix sums the byte, a table the bit."""
+        word = np.searchsorted(counts, k, "right") - 1
+        left = (k - counts[word]).astype(np.uint64)
+        w = self.upper[word]
+        w = ~w if invert else w
+        x = w - (w >> U1 & M1)
+        x = (x & M2) + (x >> U2 & M2)
+        sums = (x + (x >> U4) & M4) * ONES
+        byte = np.bitwise_count((left * ONES | HIGH) - sums & HIGH).astype(np.uint64)
+        shift = byte << U3
+        before = sums << U8 >> shift & U255
+        return word * 64 + (byte.astype(np.int64) << 3) + SELECT[(w >> shift & U255).astype(np.int64), (left - before & U7).astype(np.int64)]
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if self.width in (1, 2, 4):

@@ -24,18 +24,18 @@ learnt from; with no training row every token is unknown with probability 1; an
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm import elias_fano, shared_files
-from lexiloom.llm.common import LOWER, UPPER, drop, stored
+from lexiloom.llm.common import LOWER, SPACE, UPPER, ascii_lower, drop, release, stored, tidy
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = str.maketrans(UPPER, LOWER)
@@ -43,16 +43,19 @@ FOLDS, HELD, KEEP = 7, 2, 2
 STEP = 12 / 65534
 UNKNOWN = 0xFFFFFFFF
 #: Tokens handled at once.
-TOKENS = 1_000_000
+TOKENS = 500_000
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == HELD, F.lit(False))
 
 
+#: No word holds a line feed.
+END = "\n"
+
+
 def words_of(text: str | None) -> list[str]:
-    text = text or ""
-    return WORDS.findall(text.lower() if text.isascii() else text.translate(FOLD))
+    return WORDS.findall((text or "").translate(FOLD))
 
 
 def word_hash(word: str) -> int:
@@ -61,8 +64,10 @@ def word_hash(word: str) -> int:
     return xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)
 
 
-#: No word holds a line feed.
-END = "\n"
+def token_hashes(text: Column) -> Column:
+    """XXH64 of every token of a text, the end token last."""
+    words = F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SPACE), "")
+    return F.concat(F.transform(words, lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(END))))
 
 
 def quantised(p: np.ndarray) -> np.ndarray:
@@ -151,28 +156,32 @@ class Reader:
         x = elias_fano.load(f"{self.trie.folder}/trigrams-{shard:05d}")
         return elias_fano.Level(x), x
 
-    def ids(self, words: list[str], bits: int) -> np.ndarray:
-        hashes = np.array([word_hash(w) for w in words], np.uint64)
-        part = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
-        out = np.full(len(words), UNKNOWN, np.int64)
-        for k, p in enumerate(self.top):
-            at = np.flatnonzero(part == p)
-            if at.size:
-                known = self.parts[k][0]
-                i = np.minimum(np.searchsorted(known, hashes[at]), len(known) - 1)
-                ok = known[i] == hashes[at]
-                out[at[ok]] = self.first[k] + i[ok]
-        return out
+    def known(self, hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (UNKNOWN if there is none) and training counts of different hashes."""
+        order = np.argsort(hashes)
+        ask, ids, counts = hashes[order], np.full(len(hashes), UNKNOWN, np.int64), np.zeros(len(hashes), np.int64)
+        cuts = np.searchsorted(ask >> np.uint64(64 - bits) if bits else np.zeros(len(ask), np.uint64), np.arange((1 << bits) + 1, dtype=np.uint64))
+        for k, p in enumerate(self.top.tolist()):
+            a, b = cuts[p], cuts[p + 1]
+            if a < b:
+                have, n = self.parts[k]
+                i = np.minimum(np.searchsorted(have, ask[a:b]), len(have) - 1)
+                ok = np.flatnonzero(have[i] == ask[a:b])
+                ids[order[a + ok]] = self.first[k] + i[ok]
+                counts[order[a + ok]] = n[i[ok]]
+        return ids, counts
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
         """Training counts; 0 for the unknown token, the number of training documents for the start."""
         out = np.zeros(len(ids), np.int64)
         out[ids == self.trie.words] = self.trie.starts
-        part = np.searchsorted(self.first, ids, "right") - 1
+        order = np.argsort(ids, kind="stable")
+        ask = ids[order]
+        cuts = np.searchsorted(ask, np.append(self.first, self.trie.words))
         for k in range(len(self.parts)):
-            at = np.flatnonzero((part == k) & (ids < self.trie.words))
-            if at.size:
-                out[at] = self.parts[k][1][ids[at] - self.first[k]]
+            a, b = cuts[k], cuts[k + 1]
+            if a < b:
+                out[order[a:b]] = self.parts[k][1][ask[a:b] - self.first[k]]
         return out
 
     def by_shard(self, first: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -233,23 +242,6 @@ def reader_of(trie: Trie) -> Reader:
 
 
 def _vocabulary(docs: DataFrame, folder: str, bits: int) -> tuple[list, int]:
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter[str] = Counter()
-
-        def out() -> pd.DataFrame:
-            h = np.array([word_hash(w) for w in seen], np.uint64)
-            return pd.DataFrame({"hash": h.view(np.int64), "n": list(seen.values())})
-
-        for b in batches:
-            for text in b["text"]:
-                seen.update(words_of(text))
-                seen[END] += 1
-                if len(seen) > 1_000_000:
-                    yield out()
-                    seen.clear()
-        if seen:
-            yield out()
-
     def write(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         h = part["hash"].to_numpy().view(np.uint64)
         order = np.argsort(h)
@@ -257,7 +249,7 @@ def _vocabulary(docs: DataFrame, folder: str, bits: int) -> tuple[list, int]:
         elias_fano.save(f"{folder}/words-{key[0]:05d}", {"hash": h[order], "count": n})
         return pd.DataFrame({"part": [key[0]], "words": [len(n)], "tokens": [n.sum()], "n1": [(n == 1).sum()], "n2": [(n == 2).sum()]})
 
-    words = docs.select("text").mapInPandas(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    words = docs.select(F.explode(token_hashes(F.col("text"))).alias("hash")).groupBy("hash").agg(F.count("*").alias("n"))
     part = F.shiftrightunsigned("hash", 64 - bits).cast("int") if bits else F.lit(0)
     rows = words.withColumn("part", part).groupBy("part").applyInPandas(write, "part int, words long, tokens long, n1 long, n2 long").collect()
     return sorted(rows), bits
@@ -266,26 +258,24 @@ def _vocabulary(docs: DataFrame, folder: str, bits: int) -> tuple[list, int]:
 def _encoded(docs: DataFrame, trie: Trie, bits: int) -> DataFrame:
     """(doc_id, held_out, ids, n_tokens, n_known, base_score) of all documents."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = reader_of(trie)
-        end = reader.ids([END], bits)
-        for b in batches:
-            for lo in range(0, len(b), 500):
-                part = b.iloc[lo : lo + 500]
-                split = [words_of(t) for t in part["text"]]
-                kinds = list(set().union(*split))
-                number = dict(zip(kinds, reader.ids(kinds, bits).tolist(), strict=True))
-                rows = [np.append(np.fromiter(map(number.__getitem__, ws), np.int64, len(ws)), end) for ws in split]
-                flat = np.concatenate(rows)
-                c = reader.counts(flat)
+        for batch in batches:
+            offsets = batch.column("tokens").offsets.to_numpy().astype(np.int64)
+            # rows of about TOKENS tokens at once
+            cuts = np.unique(np.append(np.searchsorted(offsets, np.arange(offsets[0], offsets[-1], TOKENS), "left"), batch.num_rows))
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                part = batch.slice(lo, hi - lo)
+                coded = part.column("tokens").flatten().dictionary_encode()
+                ids, c = reader.known(coded.dictionary.to_numpy().view(np.uint64), bits)
+                at, starts = coded.indices.to_numpy(), offsets[lo : hi + 1] - offsets[lo]
                 base = np.log10((c + 1) / (trie.tokens + trie.words + 1))
-                starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])[:-1]])
-                yield pd.DataFrame({
-                    "doc_id": part["doc_id"].astype("Int64").to_numpy(), "held_out": part["held_out"].to_numpy(), "ids": [r.astype("<u4").tobytes() for r in rows],
-                    "n_tokens": [len(r) for r in rows], "n_known": np.add.reduceat(c > 0, starts, dtype=np.int64), "base_score": np.add.reduceat(base, starts),
-                }).astype({"doc_id": "Int64"})
+                raw = pa.py_buffer(ids.astype("<u4")[at].tobytes())
+                binary = pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((starts * 4).astype(np.int32).tobytes()), raw])
+                columns = [part.column("doc_id"), part.column("held_out"), binary, np.diff(starts), np.add.reduceat((c > 0)[at], starts[:-1], dtype=np.int64), np.add.reduceat(base[at], starts[:-1])]
+                yield pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in columns], ["doc_id", "held_out", "ids", "n_tokens", "n_known", "base_score"])
 
-    return docs.select("doc_id", "held_out", "text").mapInPandas(run, "doc_id long, held_out boolean, ids binary, n_tokens long, n_known long, base_score double")
+    return docs.select("doc_id", "held_out", token_hashes(F.col("text")).alias("tokens")).mapInArrow(tidy(run), "doc_id long, held_out boolean, ids binary, n_tokens long, n_known long, base_score double")
 
 
 def _slabs(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
@@ -317,7 +307,7 @@ def _counted(tokens: DataFrame, trie: Trie, keys_of, shard_of, local) -> DataFra
         for _, ids, first, _ in _slabs(batches, ["n_tokens"]):
             held.append(summed(keys_of(reader, ids, first)))
             size += len(held[-1][0])
-            if size > 4 * TOKENS:
+            if size > 6 * TOKENS:
                 yield _blocks(held, lambda k: shard_of(reader, k))
                 held, size = [], 0
         if size:
@@ -326,9 +316,10 @@ def _counted(tokens: DataFrame, trie: Trie, keys_of, shard_of, local) -> DataFra
     def merge(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         k, c = merged(part["block"].tolist())
         kept = c >= KEEP
+        release()
         return pd.DataFrame({"shard": [key[0]], "block": [packed(k[kept], c[kept])], "n1": [(c == 1).sum()], "n2": [(c == 2).sum()]})
 
-    counted = tokens.where("not held_out").select("ids", "n_tokens").mapInPandas(count, "shard int, block binary")
+    counted = tokens.where("not held_out").select("ids", "n_tokens").mapInPandas(tidy(count), "shard int, block binary")
     return stored(counted.groupBy("shard").applyInPandas(merge, "shard int, block binary, n1 long, n2 long"), "counts")
 
 
@@ -426,7 +417,7 @@ def scored(encoded: DataFrame, trie: Trie) -> DataFrame:
             out = rows.assign(train_tokens=trie.tokens, score=np.add.reduceat(reader.score(ids, first), starts))
             yield out.astype({"doc_id": "Int64"})[["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]]
 
-    return encoded.mapInPandas(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return encoded.mapInPandas(tidy(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def lm_scores(docs: DataFrame, folder: str, *, shards: int | None = None) -> DataFrame:
