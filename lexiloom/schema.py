@@ -12,7 +12,7 @@ def struct(spec: str) -> T.StructType:
 #: Keys that are read of a submission. created_utc occurs as number and as text.
 POSTS = "id string, author string, subreddit string, title string, selftext string, created_utc string, score bigint, num_comments bigint, permalink string, url string, over_18 boolean, promoted boolean, whitelist_status string, is_video boolean, _corrupt_record string"
 #: Columns of short-message tables; city tables have City, country tables Country and MyCountry.
-MESSAGES = ("TweetID", "Tweet", "createdAt", "Year", "Month", "Place", "PlaceID", "PlaceType", "City", "Country", "MyCountry", "UserID", "userID", "userName", "Author")
+MESSAGES = ("TweetID", "Tweet", "createdAt", "Year", "Month", "Place", "PlaceID", "PlaceType", "City", "Country", "MyCountry", "UserID", "userName", "Author")
 
 DEMOGRAPHICS = (
     "DMGRawExtractedAge", "DMGRawExtractedGender", "DMGRawExtractedCity", "DMGCountryMappedFromExtractedCity", "DMGRawExtractedCountry", "DMGRawExtractedReligion",

@@ -45,9 +45,10 @@ def post_columns(media_path: str | None = None) -> list[Column]:
 def messages(spark: SparkSession, path: str) -> DataFrame:
     """Short messages as parquet, with ``Author`` from the first usable id column; absent columns are NULL."""
     df = spark.read.parquet(path)
-    ids = [id_text(F.col(c)) for c in ("Author", "UserID", "userID", "userName") if c in df.columns]
-    df = df.withColumns({c: F.lit(None).cast("string") for c in schema.MESSAGES if c not in df.columns})
-    return df.withColumn("Author", F.coalesce(*ids) if ids else F.lit(None).cast("string"))
+    there = {c.lower() for c in df.columns}  # names are resolved whatever their case
+    ids = [id_text(F.col(c)) for c in ("Author", "UserID", "userName") if c.lower() in there]
+    df = df.withColumn("Author", F.coalesce(*ids) if ids else F.lit(None).cast("string"))
+    return df.withColumns({c: F.lit(None).cast("string") for c in schema.MESSAGES if c.lower() not in there and c != "Author"})
 
 
 def split_name(path: str) -> str:
