@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import stored
+from lexiloom.llm.common import stored, tidy
 
 PACKET, PMT_PID, DATA_PID, STREAM = 188, 0x1000, 0x0100, 0xBD
 #: Payload bytes of an access unit, units from one random-access point to the next, ticks (90 kHz) a unit.
@@ -189,7 +189,7 @@ def store_media(docs: DataFrame) -> DataFrame:
                 both = [padded(t) for t in part["text"]]
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").to_numpy(), "n_bytes": [n for _, n in both], "media": [mux(p) for p, _ in both]}).astype({"doc_id": "Int64"})
 
-    return stored(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n_bytes long, media binary"), "media")
+    return stored(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(tidy(run), "doc_id long, n_bytes long, media binary"), "media")
 
 
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pts array<long>, random_access array<int>"
@@ -210,4 +210,4 @@ def media_features(media: DataFrame) -> DataFrame:
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
-    return media.mapInPandas(run, FEATURES)
+    return media.mapInPandas(tidy(run), FEATURES)

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import stored
+from lexiloom.llm.common import release, small_batches, stored
 
 FOLDS, HELD, SAMPLE, THRESHOLD = 4, 2, 4000, 0.7
 #: Features that a line also sees of its neighbours.
@@ -235,7 +235,9 @@ def score(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD) -> Dat
         for texts in batches:
             parts = [scores(texts.iloc[lo : lo + 256].tolist(), model) for lo in range(0, len(texts), 256)]
             yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+        release()
 
+    small_batches(docs.sparkSession)
     mark = F.pandas_udf(run, "double")
     out = docs.withColumn("score", mark(F.coalesce("text", F.lit(""))))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import LOWER, UPPER, drop, link_buckets, stored
+from lexiloom.llm.common import LOWER, UPPER, drop, link_buckets, stored, tidy
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = str.maketrans(UPPER, LOWER)
@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             fps = np.array([fingerprint_of(t, shingle) for t in b["text"]], np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": fps})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(tidy(run), "doc_id long, fp long")
 
 
 def near_components(fps: DataFrame, distance: int = 3, segment_bits: int = 32) -> DataFrame:
