@@ -299,7 +299,7 @@ def _blocks(keys: list[tuple[np.ndarray, np.ndarray]], shard_of) -> pd.DataFrame
     return pd.DataFrame({"shard": shard[cuts].astype(np.int32), "block": [packed(k[a:b], c[a:b]) for a, b in zip(cuts, ends, strict=True)]})
 
 
-def _counted(tokens: DataFrame, trie: Trie, keys_of, shard_of, local) -> DataFrame:
+def _counted(tokens: DataFrame, trie: Trie, keys_of, shard_of) -> DataFrame:
     """(shard, block, n1, n2): one block per shard with all keys that occur KEEP times or more."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -375,7 +375,7 @@ def train(docs: DataFrame, folder: str, shards: int) -> tuple[Trie, DataFrame]:
     starts = encoded.where("not held_out").count()
     trie = Trie(folder, shards, tuple(parts), base, tokens, starts, (d1, 0.5, 0.5))
 
-    counts = _counted(encoded, trie, _pairs, lambda r, k: r.shard_of((k >> np.uint64(32)).astype(np.int64)), None)
+    counts = _counted(encoded, trie, _pairs, lambda r, k: r.shard_of((k >> np.uint64(32)).astype(np.int64)))
     d2 = _discount(*counts.agg(F.coalesce(F.sum("n1"), F.lit(0)), F.coalesce(F.sum("n2"), F.lit(0))).first())
     trie = Trie(folder, shards, tuple(parts), base, tokens, starts, (d1, d2, 0.5))
 
@@ -390,7 +390,7 @@ def train(docs: DataFrame, folder: str, shards: int) -> tuple[Trie, DataFrame]:
 
     _built(counts, trie, bigrams)
     drop(counts)
-    counts = _counted(encoded, trie, _triples, lambda r, k: (k >> np.uint64(52)).astype(np.int64), None)
+    counts = _counted(encoded, trie, _triples, lambda r, k: (k >> np.uint64(52)).astype(np.int64))
     d3 = _discount(*counts.agg(F.coalesce(F.sum("n1"), F.lit(0)), F.coalesce(F.sum("n2"), F.lit(0))).first())
     trie = Trie(folder, shards, tuple(parts), base, tokens, starts, (d1, d2, d3))
 
