@@ -63,6 +63,32 @@ def test_link_buckets_loses_no_link(spark, rounds):
     assert got == want
 
 
+def test_rare_tokens_lose_no_link(spark):
+    """One bucket of near copies: prefix and positional filtering must give the components of all similar pairs."""
+    rng = random.Random(6)
+    base = [set(rng.sample(range(100), 20)) for _ in range(4)]
+    sets = []
+    for i in range(120):
+        s = set(rng.choice(base))
+        for _ in range(rng.randint(0, 6)):
+            s.discard(rng.choice(sorted(s)))
+            s.add(rng.choice([1000 + i, rng.randrange(100), 2000 + rng.randrange(200)]))
+        sets.append(s)
+    often = Counter(t for s in sets for t in s)
+    rows = []
+    for i, s in enumerate(sets):
+        order = sorted(s, key=lambda t: (often[t], t))
+        most = len(s) - -(-len(s) * 8 // 10) + 1
+        rows += [(i, t, r, len(s)) for r, t in enumerate(order[:most], 1)]
+    table = spark.createDataFrame(rows, "id long, token long, rank int, n int")
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    good = spark.createDataFrame([(a, b) for a in range(120) for b in range(120) if a < b and alike(a, b)], "a long, b long")
+    members = spark.range(120).selectExpr("1L AS key", "id")
+    got = dict(map(tuple, link_buckets(members, lambda p: p.join(good, ["a", "b"]), 0, lambda ids: ids.join(table, "id").select("id", "c", "token", "rank", "n")).collect()))
+    pairs = list(map(tuple, good.collect()))
+    assert got == union(pairs, {x for ab in pairs for x in ab})
+
+
 def test_link_buckets_compares_a_group_of_copies_once_each(spark):
     seen = []
 
