@@ -158,7 +158,7 @@ def joined_components(comp: DataFrame, links: DataFrame) -> DataFrame:
     return moved.select("id", F.coalesce("to", "component").alias("component")).unionByName(new.select("id", "component"))
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 2, tokens: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 2, tokens: Callable[[DataFrame], DataFrame] | None = None, threshold: float = 0.8) -> DataFrame:
     """Components of all verified pairs that share a bucket, without emitting all pairs of a bucket.
 
     ``members`` has (key, id), one row per membership; ``verify`` keeps those rows of (a, b) that
@@ -168,8 +168,10 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], r
     2. for ``rounds`` times, buckets that still span several components verify the members outside
        their largest component against another representative of that component;
     3. what is left compares members of *different* components only: all pairs of a bucket or, with
-       ``tokens``, all that share a token. That function turns (id, c) into a table (id, c, token) with a
-       row for each of an id's tokens; every link must share one (prefix filtering).
+       ``tokens``, all that share a token. That function turns (id, c) into a table (id, c, token, rank, n)
+       with each id's rarest tokens, their ranks from 1 and the size of its set; sets of Jaccard similarity
+       ``threshold`` share one, and the first they share stands so early in both that what follows it
+       can make up the overlap they need (prefix and positional filtering).
 
     A bucket of n near copies costs about n comparisons; only pairs that no chain of links joins
     are compared one by one. Returns (id, component) for linked ids.
@@ -203,7 +205,9 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], r
             pairs = left.join(best, "key").where("c <> top").select("id", "to")
         elif tokens:
             own = tokens(few(left.select("id", "c").distinct(), rows))
-            pairs = own.join(own.select("token", F.col("id").alias("to"), F.col("c").alias("c2")), "token").where("c < c2").select("id", "to")
+            other = own.select("token", F.col("id").alias("to"), F.col("c").alias("c2"), F.col("rank").alias("rank2"), F.col("n").alias("n2"))
+            enough = f"1 + least(n - rank, n2 - rank2) >= (n + n2) * {threshold / (1 + threshold)!r}D - 1e-9"
+            pairs = own.join(other, "token").where(f"c < c2 and {enough}").select("id", "to")
         else:
             left = left.select("key", "id", "rep", "c")
             other = left.select("key", F.col("id").alias("to"), F.col("c").alias("c2"), F.col("rep").alias("rep2"))

@@ -117,11 +117,12 @@ def line_classes(docs: DataFrame, *, k: int = SHINGLE, threshold: float = THRESH
         common = every.join(often, "token")
         rank = F.row_number().over(Window.partitionBy("id").orderBy("count", "token"))
         held = common.withColumn("rank", rank).join(common.groupBy("id").agg(F.count("*").alias("held")), "id").join(most, "id")
-        out = stored(held.where(F.col("rank") + F.col("n") - F.col("held") <= F.col("most")).select("id", "c", "token"), "tokens")
+        place = F.col("rank") + F.col("n") - F.col("held")
+        out = stored(held.select("id", "c", "token", place.alias("rank"), "n", "most").where("rank <= most").drop("most"), "tokens")
         drop(every)
         return out
 
-    comp = link_buckets(meet.join(ids, ["h1", "h2"]).select("key", "id"), verify, tokens=rare_shingles)
+    comp = link_buckets(meet.join(ids, ["h1", "h2"]).select("key", "id"), verify, tokens=rare_shingles, threshold=threshold)
     linked = stored(payload.drop("raw").join(comp, "id"), "linked")
     best = linked.groupBy("component").agg(F.min(F.struct("first", "h1", "h2")).alias("best"))
     near = linked.join(best, "component").select("h1", "h2", F.when((F.col("best.h1") == F.col("h1")) & (F.col("best.h2") == F.col("h2")), F.col("first")).alias("keep"))

@@ -176,7 +176,7 @@ def similar(pairs: DataFrame, payload: DataFrame, k: int, threshold: float) -> D
 
 
 def rare_shingles(ids: DataFrame, payload: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(id, c, token): each id's rarest shingles, one more than a similar paragraph may lack."""
+    """(id, c, token, rank, n): each id's rarest shingles, one more than a similar paragraph may lack."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from xxhash import xxh3_64_intdigest
@@ -187,14 +187,14 @@ def rare_shingles(ids: DataFrame, payload: DataFrame, k: int, threshold: float)
                 ws = paragraph_words(text)
                 own = {xxh3_64_intdigest(" ".join(ws[j : j + k])) for j in range(max(1, len(ws) - k + 1))}
                 most = len(own) - int(np.ceil(threshold * len(own) - 1e-9)) + 1
-                out += [(i, c, most, t - (1 << 63)) for t in own]
-            yield pd.DataFrame(out, columns=["id", "c", "most", "token"])
+                out += [(i, c, most, t - (1 << 63), len(own)) for t in own]
+            yield pd.DataFrame(out, columns=["id", "c", "most", "token", "n"])
 
-    every = ids.join(payload, "id").select("id", "c", "part").mapInPandas(tidy(run), "id long, c long, most int, token long")
+    every = ids.join(payload, "id").select("id", "c", "part").mapInPandas(tidy(run), "id long, c long, most int, token long, n int")
     every = stored(every, "shingles")
-    counted = every.join(every.groupBy("token").agg(F.count("*").alias("n")), "token")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("n", "token"))
-    out = stored(counted.withColumn("rank", rank).where("rank <= most").select("id", "c", "token"), "tokens")
+    counted = every.join(every.groupBy("token").count(), "token")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("count", "token"))
+    out = stored(counted.withColumn("rank", rank).where("rank <= most").select("id", "c", "token", "rank", "n"), "tokens")
     drop(every)
     return out
 
@@ -217,7 +217,7 @@ def repeated_paragraphs(docs: DataFrame, *, k: int = SHINGLE, threshold: float =
     spot = table.join(ids, ["h1", "h2"]).groupBy("id").agg(F.min(F.struct("row", "start", "n_chars")).alias("at")).select("id", "at.*")
     lines = docs.select(row_key().alias("row"), "text")
     payload = stored(spot.join(lines, "row").select("id", F.substring("text", F.col("start") + 1, F.col("n_chars")).alias("part")).dropDuplicates(["id"]), "payload")
-    comp = link_buckets(meet.join(ids, ["h1", "h2"]).select("key", "id"), lambda pairs: similar(pairs, payload, k, threshold), tokens=lambda ids: rare_shingles(ids, payload, k, threshold))
+    comp = link_buckets(meet.join(ids, ["h1", "h2"]).select("key", "id"), lambda pairs: similar(pairs, payload, k, threshold), tokens=lambda ids: rare_shingles(ids, payload, k, threshold), threshold=threshold)
     digest = F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0"))
     near = ids.join(comp, "id").join(ids.select(F.col("id").alias("component"), digest.alias("name")), "component").select("h1", "h2", F.col("name").alias("component"))
     alone = distinct.where("n > 1").select("h1", "h2", digest.alias("component")).join(near, ["h1", "h2"], "left_anti")
