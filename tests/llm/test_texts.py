@@ -306,3 +306,25 @@ def test_neighbours_follow_bm25():
     score = {d: sum(idf[t] * (ids[d] == t).sum() * 2.2 / ((ids[d] == t).sum() + 1.2) for t in set(ids[0].tolist())) for d in range(1, 12)}
     best = sorted(score, key=lambda d: (-score[d], d))[:2]
     assert [d for d, _, _ in first] == [0, *best]
+
+
+def test_seeds_find_their_copies_in_every_shard(spark):
+    """Groups of three near copies under other ids fill one window each, however many shards there are."""
+    rng = random.Random(3)
+    words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
+    rows = []
+    for g in range(30):
+        own = rng.sample(words, 12)
+        text = [rng.choice(own) for _ in range(60)]
+        for i in range(3):
+            rows.append((g + 100 * i, " ".join([*text[:-1], rng.choice(own)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    size = 3 * max(r.doc_tokens for r in packing.pack(df).collect())
+    whole, cut = (packing.pack(df, window=size, shard_tokens=n).collect() for n in (10**6, 1000))
+    assert sum(r.length for r in whole) == sum(r.length for r in cut)
+    for got in (whole, cut):
+        first = {}
+        for r in sorted(got, key=lambda r: r.offset):
+            first.setdefault(r.sequence_id, []).append(r.doc_id % 100)
+        pure = sum(len(set(x[:2])) == 1 for x in first.values() if len(x) > 1)
+        assert pure >= 0.7 * len(first), (pure, len(first))
