@@ -279,6 +279,20 @@ def test_passages_against_brute_force(spark):
     assert substring_dedup.repeated_paragraphs(spark.createDataFrame([], KIND)).count() == 0
 
 
+def test_bands_of_passages_have_high_recall():
+    recall = lambda s: 1 - (1 - s**substring_dedup.ROWS) ** substring_dedup.BANDS
+    assert recall(substring_dedup.THRESHOLD) >= 0.999
+    rng = random.Random(12)
+    missed = 0
+    for _ in range(600):
+        ws = [f"w{rng.randrange(10**9)}" for _ in range(59)]
+        # 55 shingles, one word changed 5 from the end: 50 of 60 are shared
+        lines = [" ".join(ws), " ".join([*ws[:-5], "changed", *ws[-4:]])]
+        got = substring_dedup.cut_lines(lines, 5, substring_dedup.BANDS, substring_dedup.ROWS, 6)
+        missed += not any(got[f"k{b}"][0] == got[f"k{b}"][1] for b in range(substring_dedup.BANDS))
+    assert missed <= 2
+
+
 def grams(ws):
     k = min(5, len(ws))
     return [tuple(ws[i : i + k]) for i in range(len(ws) - k + 1)]
