@@ -6,7 +6,7 @@ being their counts: sum of smaller counts over sum of larger ones.
 
 1. Windows that cannot reach the threshold are left out without loss: a similar window holds at least
    ``threshold`` of the item's shingles, so it holds one of any (1 - threshold) * L + 1 of them. These anchor
-   shingles are looked up in all documents; each hit places a window.
+   shingles are looked up in all documents; each hit places a window at every start that holds it.
 2. Windows get a 64-bit SimHash over their shingles with repeats, as items do.
 3. Multi-index: fingerprints are cut into blocks; within ``radius`` bits one block differs by
    radius // blocks bits at most. Items list the Hamming balls of their blocks, windows look their blocks up,
@@ -92,8 +92,9 @@ def leaks(docs: DataFrame, items: DataFrame, *, k: int = SHINGLE, threshold: flo
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:  # no items
         return docs.select("doc_id", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("start"), F.lit(0.0).alias("similarity")).limit(0)
-    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("words") - F.col("size")))
-    places = stored(hits.select("row", "size", start.alias("start")).distinct(), "windows")
+    inside = lambda x: F.greatest(F.lit(0), F.least(x, F.col("words") - F.col("size")))
+    starts = F.sequence(inside(F.col("p") - F.col("size") + F.least("size", F.lit(k))), inside(F.col("p")))
+    places = stored(hits.select("row", "words", "size", "p").distinct().select("row", "size", F.explode(starts).alias("start")).distinct(), "windows")
     rows = places.select("row").distinct()
     near = words.join(small(rows, rows.count(), BROADCAST_ROWS), "row", "left_semi")
     window = F.slice("w", F.col("start") + 1, F.col("size"))

@@ -340,6 +340,23 @@ def test_leaks_against_brute_force(spark):
     assert {r.doc_id for r in clean.collect()} == {i for i, _, _ in docs} - {i for i, _ in want}
 
 
+def test_leaks_of_moved_inserted_and_deleted_blocks(spark):
+    rng = random.Random(22)
+    item = [f"w{i}" for i in range(60)]
+    a, b = item[:30], item[30:]
+    around = lambda: [f"x{rng.randrange(10**6)}" for _ in range(80)]
+    docs = [b + a, item[:20] + ["new"] * 4 + item[20:], item[:25] + item[30:], b + ["x"] * 40 + a]
+    docs = [(i, " ".join(around() + d + around()), "en") for i, d in enumerate(docs)]
+    got = {r.doc_id: r.similarity for r in decontaminate.leaks(spark.createDataFrame(docs, KIND), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    want = {}
+    for i, t, _ in docs:
+        ws = t.split(" ")
+        best = max(similarity(grams(ws[s : s + 60]), grams(item)) for s in range(len(ws) - 59))
+        if best >= 0.8:
+            want[i] = best
+    assert 0 in want and set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-5 for i in want)
+
+
 def test_leaks_of_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b c d e f g", "x")], KIND), spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
     assert decontaminate.leaks(docs.limit(0), items).count() == 0
