@@ -1,16 +1,17 @@
 """Fuzzy line deduplication, DataFrame expressions only.
 
 Lines are compared without outer blanks and in lower case. Equal lines are collapsed first. Then, per distinct
-line: overlapping character shingles, MinHash signatures of 25 values, dealt to bands of 5 in four ways (recall 0.989 at
-the threshold, 0.998 at 0.85, 0.9996 at 0.9; lines that merely share a passage seldom meet), exact Jaccard similarity of the shingle sets of lines that share a band, and a distributed
+line: overlapping character shingles, MinHash signatures of 40 values, dealt to bands of 5 in two ways (recall 0.993 at
+the threshold, 0.999 at 0.85), exact Jaccard similarity of the shingle sets of lines that share a band, and a distributed
 union-find. Of each component one line stays: that of the smallest doc_id, at its first occurrence there. All other lines of the component are removed from their documents.
 
-MinHash: one 64-bit hash per shingle; signature value j is the smallest ``hash XOR c_j`` with constants c_j
-spread over the range, which equals for two lines with a probability of their Jaccard similarity.
+MinHash by one permutation: every shingle at every position is hashed once, its hash belongs to one of 40 bins, and each bin
+keeps its smallest. A bin without any hash takes the smallest of an own hash function of all bins' values, so lines of few
+shingles have independent values too, and lines of the same shingles the same ones.
 
 Defined results: NULL text stays NULL, with 0 lines; blank lines are never removed; a line shorter than a
 shingle is its own shingle; rows equal in doc_id and text are treated alike; NULL doc_ids count as
-largest; an empty table gives no rows; other columns of the input are not looked at.
+largest; an empty table gives no rows; input columns n_lines and n_removed are replaced, other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.llm.common import drop, link_buckets, small, stored
 
-SHINGLE, THRESHOLD, VALUES, ROWS, PARTITIONS = 10, 0.8, 25, 5, 4
+SHINGLE, THRESHOLD, VALUES, ROWS, PARTITIONS = 7, 0.8, 40, 5, 2
 #: NULL doc_ids count as this one.
 LAST = (1 << 63) - 1
 
@@ -40,12 +41,13 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return out.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
-def shingle_hashes(raw: Column, k: int = SHINGLE) -> Column:
-    """Hashes of all k-character shingles of a UTF-16 text column as an array, repeats included.
+def spread(df: DataFrame, k: int, raw: str = "raw") -> DataFrame:
+    """``df`` with a row per k-character shingle of its UTF-16 column ``raw``, whose hash h takes that column's place.
 
     ``raw`` must be a plain column: an expression would be evaluated again for every shingle.
     """
-    return F.transform(starts(raw, k), lambda i: F.xxhash64(F.substring(raw, i, F.lit(2 * k))))
+    rest = [c for c in df.columns if c != raw]
+    return df.select(*rest, raw, F.explode(starts(F.col(raw), k)).alias("at")).select(*rest, F.xxhash64(F.substring(F.col(raw), F.col("at"), F.lit(2 * k))).alias("h"))
 
 
 def starts(raw: Column, k: int) -> Column:
@@ -59,94 +61,92 @@ def bands(values: int, rows: int, partitions: int) -> list[list[int]]:
     return [[(b + r * p) % n + r * n for r in range(rows)] for p in range(partitions) for b in range(n)]
 
 
-def constants(n: int) -> list[int]:
-    """n signed 64-bit constants whose leading bits are spread evenly."""
-    out = []
-    for j in range(n):
-        c = (j * (1 << 64) // n) ^ (0x9E3779B97F4A7C15 * (j + 1) & (1 << 58) - 1)
-        out.append(c - (1 << 64) if c >> 63 else c)
-    return out
-
-
 def distinct_lines(docs: DataFrame) -> DataFrame:
     """(h1, h2, line, first, n): each different line, its smallest doc_id and how often it occurs."""
     first = F.min(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).alias("first")
     return lines_of(docs).groupBy("h1", "h2", "line").agg(first, F.count("*").alias("n"))
 
 
+def signatures(lines: DataFrame, k: int, values: int) -> DataFrame:
+    """(id, m0, m1, ...) of lines (id, line). Shingles are exploded and folded to their bins' minima before the shuffle."""
+    hashes = spread(lines.select("id", F.encode("line", "UTF-16BE").alias("raw")), k)
+    binned = hashes.withColumn("bin", F.expr(f"cast((shiftrightunsigned(h, 32) * {values}L) >> 32 as int)"))
+    mins = binned.groupBy("id").agg(*[F.expr(f"min(h) FILTER (WHERE bin = {j})").alias(f"b{j}") for j in range(values)])
+    held = mins.withColumn("held", F.array_compact(F.array(*[f"b{j}" for j in range(values)])))
+    own = lambda j: F.array_min(F.transform("held", lambda x: F.xxhash64(x, F.lit(j))))
+    return held.select("id", *[F.coalesce(f"b{j}", own(j)).alias(f"m{j}") for j in range(values)])
+
+
 def band_keys(lines: DataFrame, k: int, values: int, rows: int, partitions: int) -> DataFrame:
-    """(h1, h2, key): one row per line and band. Shingles are exploded and folded to minima before the shuffle."""
-    raw = lines.select("h1", "h2", F.encode("line", "UTF-16BE").alias("raw"))
-    shingles = raw.select("h1", "h2", "raw", F.explode(starts(F.col("raw"), k)).alias("i")).select("h1", "h2", F.xxhash64(F.substring(F.col("raw"), F.col("i"), F.lit(2 * k))).alias("h"))
-    mins = shingles.groupBy("h1", "h2").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{j}") for j, c in enumerate(constants(values))])
+    """(id, key): one row per line and band."""
     keys = [F.xxhash64(F.lit(b), *[f"m{v}" for v in vs]) for b, vs in enumerate(bands(values, rows, partitions))]
-    return mins.select("h1", "h2", F.explode(F.array(*keys)).alias("key"))
+    return signatures(lines, k, values).select("id", F.explode(F.array(*keys)).alias("key"))
 
 
 def line_classes(docs: DataFrame, *, k: int = SHINGLE, threshold: float = THRESHOLD, values: int = VALUES, rows: int = ROWS, partitions: int = PARTITIONS) -> DataFrame:
     """(h1, h2, keep): lines with copies or links; keep = the doc_id where one occurrence stays, NULL where none does."""
-    table = stored(distinct_lines(docs), "lines")
-    members = stored(band_keys(table.select("h1", "h2", "line"), k, values, rows, partitions), "bands")
+    # numbers once given are written down, so they stay the same whatever is computed again
+    table = stored(distinct_lines(docs).withColumn("id", F.monotonically_increasing_id()), "lines")
+    members = stored(band_keys(table.select("id", "line"), k, values, rows, partitions), "bands")
     shared = stored(members.groupBy("key").count().where("count > 1").select("key"), "keys")
-    meet = stored(members.join(small(shared, shared.count(), 1_000_000), "key", "left_semi").select("key", "h1", "h2"), "meet")
+    meet = stored(members.join(small(shared, shared.count(), 1_000_000), "key", "left_semi").select("key", "id"), "meet")
     drop(members, shared)
-    # numbers once given are written down, so they stay the same whatever is computed again
-    ids = stored(meet.select("h1", "h2").distinct().withColumn("id", F.monotonically_increasing_id()), "ids")
-    payload = stored(table.join(ids, ["h1", "h2"]).select("id", "h1", "h2", "first", F.encode("line", "UTF-16BE").alias("raw")), "payload")
-    sizes = stored(payload.select("id", F.size(F.array_distinct(shingle_hashes(F.col("raw"), k))).alias("n")), "sizes")
+    raw = table.join(meet.select("id").distinct(), "id", "left_semi").select("id", F.encode("line", "UTF-16BE").alias("raw"))
+    # each candidate's shingles are hashed once, all comparisons intersect these sets
+    every = F.transform(starts(F.col("raw"), k), lambda at: F.xxhash64(F.substring(F.col("raw"), at, F.lit(2 * k))))
+    payload = stored(raw.select("id", F.array_distinct(every).alias("s")), "payload")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        # sets whose sizes differ more cannot be similar; that spares most pairs their texts
-        m = sizes.select(F.col("id").alias("a"), F.col("n").alias("m"))
-        near = pairs.join(m, "a").join(sizes.withColumnRenamed("id", "b"), "b").where(F.least("m", "n") >= threshold * F.greatest("m", "n"))
-        near = stored(near.select("a", "b", "m", "n"), "pairs")
-        a = payload.select(F.col("id").alias("a"), F.col("raw").alias("x"))
-        b = payload.select(F.col("id").alias("b"), F.col("raw").alias("y"))
-        both = near.join(a, "a").join(b, "b")
-        shared = F.size(F.array_intersect(shingle_hashes(F.col("x"), k), shingle_hashes(F.col("y"), k)))
-        return both.select("a", "b", shared.alias("s"), (F.col("m") + F.col("n")).alias("t")).where(F.col("s") >= threshold * (F.col("t") - F.col("s"))).select("a", "b")
+        n = payload.select("id", F.size("s").alias("n"))
+        # sets whose sizes differ more cannot be similar; that spares most pairs their sets
+        near = pairs.join(n.select(F.col("id").alias("a"), F.col("n").alias("m")), "a").join(n.withColumnRenamed("id", "b"), "b").where(F.least("m", "n") >= threshold * F.greatest("m", "n"))
+        near = stored(near.select("a", "b"), "pairs")
+        x, y = payload.select(F.col("id").alias("a"), F.col("s").alias("x")), payload.select(F.col("id").alias("b"), F.col("s").alias("y"))
+        both = near.join(x, "a").join(y, "b").select("a", "b", (F.size("x") + F.size("y")).alias("t"), F.size(F.array_intersect("x", "y")).alias("s"))
+        found = stored(both.where(F.col("s") >= F.lit(threshold) * (F.col("t") - F.col("s"))).select("a", "b"), "similar")
+        drop(near)
+        return found
 
     def rare_shingles(open_ids: DataFrame) -> DataFrame:
         """Each id's rarest shingles, one more than a similar line may lack."""
-        texts = open_ids.join(payload.select("id", "raw"), "id")
-        spread = texts.select("id", "c", "raw", F.explode(starts(F.col("raw"), k)).alias("i")).select("id", "c", F.xxhash64(F.substring(F.col("raw"), F.col("i"), F.lit(2 * k))).alias("token"))
-        every = stored(spread.groupBy("id", "token").agg(F.min("c").alias("c")), "shingles")
+        every = stored(open_ids.join(payload, "id").select("id", "c", F.size("s").alias("n"), F.explode("s").alias("token")), "shingles")
         # a shingle of one line joins nothing; it still takes its place among the rarest
         often = every.groupBy("token").count().where("count > 1")
-        most = sizes.select("id", (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).alias("most"), "n")
         common = every.join(often, "token")
         rank = F.row_number().over(Window.partitionBy("id").orderBy("count", "token"))
-        held = common.withColumn("rank", rank).join(common.groupBy("id").agg(F.count("*").alias("held")), "id").join(most, "id")
-        place = F.col("rank") + F.col("n") - F.col("held")
-        out = stored(held.select("id", "c", "token", place.alias("rank"), "n", "most").where("rank <= most").drop("most"), "tokens")
+        held = F.count("*").over(Window.partitionBy("id"))
+        placed = common.withColumns({"rank": rank, "held": held}).withColumn("rank", F.col("rank") + F.col("n") - F.col("held"))
+        most = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1
+        out = stored(placed.where(F.col("rank") <= most).select("id", "c", "token", "rank", "n"), "tokens")
         drop(every)
         return out
 
-    comp = link_buckets(meet.join(ids, ["h1", "h2"]).select("key", "id"), verify, tokens=rare_shingles, threshold=threshold)
-    linked = stored(payload.drop("raw").join(comp, "id"), "linked")
+    comp = link_buckets(meet, verify, tokens=rare_shingles, threshold=threshold)
+    linked = stored(table.select("id", "h1", "h2", "first").join(comp, "id"), "linked")
     best = linked.groupBy("component").agg(F.min(F.struct("first", "h1", "h2")).alias("best"))
     near = linked.join(best, "component").select("h1", "h2", F.when((F.col("best.h1") == F.col("h1")) & (F.col("best.h2") == F.col("h2")), F.col("first")).alias("keep"))
-    copies = table.where("n > 1").join(linked, ["h1", "h2"], "left_anti").select("h1", "h2", F.col("first").alias("keep"))
+    copies = table.where("n > 1").join(linked, "id", "left_anti").select("h1", "h2", F.col("first").alias("keep"))
     out = stored(near.unionByName(copies), "classes")
-    drop(table, meet, ids, payload, sizes, linked)
+    drop(table, meet, payload, linked, comp)
     return out
 
 
 def removals(docs: DataFrame, **settings) -> DataFrame:
     """(row, removed): positions of removed lines, for documents that lose some."""
     classes = line_classes(docs, **settings)
-    spots = lines_of(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "row", "pos", "h1", "h2").join(classes, ["h1", "h2"])
-    per = spots.groupBy("h1", "h2", "row").agg(F.array_sort(F.collect_set("pos")).alias("at"), F.min(F.when(F.col("keep") == F.col("doc_id"), F.col("row"))).alias("own"))
-    # of several texts under the kept doc_id one keeps the line
-    staying = per.where("own is not null").groupBy("h1", "h2").agg(F.min("own").alias("stay"))
-    per = per.join(staying, ["h1", "h2"], "left").withColumn("stays", F.coalesce(F.col("stay") == F.col("row"), F.lit(False)))
-    gone = per.select("row", F.when(F.col("stays"), F.slice("at", 2, F.size("at"))).otherwise(F.col("at")).alias("at")).where("size(at) > 0")
-    return gone.groupBy("row").agg(F.flatten(F.collect_list("at")).alias("removed"))
+    every = lines_of(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "row", "pos", "h1", "h2")
+    spots = stored(every.join(small(classes, classes.count()), ["h1", "h2"]), "spots")
+    # of several texts under the kept doc_id one keeps the line; a line's one staying place is an aggregate, so no line's occurrences meet
+    stays = spots.where("keep = doc_id").groupBy("h1", "h2").agg(F.min(F.struct("row", "pos")).alias("at"))
+    stays = stays.select(F.col("at.row").alias("row"), F.col("at.pos").alias("pos"))
+    out = stored(spots.select("row", "pos").join(stays, ["row", "pos"], "left_anti").groupBy("row").agg(F.collect_set("pos").alias("removed")), "removed")
+    drop(classes, spots)
+    return out
 
 
 def dedup_lines(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` with texts less their removed lines, and n_lines and n_removed (long)."""
-    gone = stored(removals(docs, **settings), "removed").select(F.col("row").alias("__row"), F.col("removed").alias("__gone"))
+    gone = removals(docs, **settings).select(F.col("row").alias("__row"), F.col("removed").alias("__gone"))
     joined = docs.withColumn("__row", row_key(docs)).join(gone, "__row", "left")
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))

@@ -152,7 +152,7 @@ def test_simhash_of_empty_table_and_clashing_columns(spark):
     assert simhash_dedup.keep_one(df).columns == df.columns
 
 
-def line_sets(line, k=10):
+def line_sets(line, k=7):
     return {line[i : i + k] for i in range(max(1, len(line) - k + 1))}
 
 
@@ -210,6 +210,39 @@ def test_lines_of_empty_table_and_clashing_columns(spark):
     assert row.text == "a" and row.n_removed == 1
 
 
+@pytest.mark.parametrize("size, least", [(12, 0.93), (60, 0.97), (300, 0.97)])
+def test_recall_of_line_bands(spark, size, least):
+    """Pairs of lines whose shingle sets are just similar enough must share a band, short ones too."""
+    rng = random.Random(size)
+    letters = "abcdefghijklmnopqrstuvwxyz      "
+    lines, pairs = [], []
+    while len(pairs) < 300:
+        a = "".join(rng.choice(letters) for _ in range(size))
+        # ends differ, so the similarity is met closely
+        m = len(line_sets(a))
+        cut = max(1, round(0.1 * m))
+        b = a[cut:] + "".join(rng.choice(letters) for _ in range(cut)) if rng.random() < 0.5 else a + "".join(rng.choice(letters) for _ in range(cut))
+        s, t = line_sets(a), line_sets(b)
+        if 0.8 <= len(s & t) / len(s | t) < 0.88:
+            lines += [(2 * len(pairs), a), (2 * len(pairs) + 1, b)]
+            pairs.append((a, b))
+    keys = line_dedup.band_keys(spark.createDataFrame(lines, "id long, line string"), line_dedup.SHINGLE, line_dedup.VALUES, line_dedup.ROWS, line_dedup.PARTITIONS)
+    got = defaultdict(set)
+    for i, k in keys.collect():
+        got[i].add(k)
+    assert all(len(x) == 16 for x in got.values())
+    found = sum(bool(got[2 * i] & got[2 * i + 1]) for i in range(300))
+    assert found >= least * 300, found
+
+
+def test_lines_of_the_same_shingles_have_the_same_bands(spark):
+    rows = [(1, "ha" * 20), (2, "ha" * 300), (3, "x"), (4, "x")]
+    got = defaultdict(set)
+    for i, k in line_dedup.band_keys(spark.createDataFrame(rows, "id long, line string"), 7, 40, 5, 2).collect():
+        got[i].add(k)
+    assert got[1] == got[2] and got[3] == got[4] and not got[1] & got[3]
+
+
 def parts_of(text):
     """(line, start, length, words) of paragraphs: sentences and lines of six words or more, numbered within the document."""
     out, at = [], 0
