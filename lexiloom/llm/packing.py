@@ -1,20 +1,21 @@
 """Lexical retrieval packing: a sharded BM25 inverted index fills each seed document's window.
 
 Terms are token ids, so every statistic (document frequencies, lengths) has at most one entry per
-vocabulary id and is counted over all documents. Documents are dealt by hash to shards of about
-``shard_tokens`` tokens, more shards for more text; a shard holds its inverted index in memory.
-Whole windows are cut off long documents first. Then the first unused document seeds a window,
-BM25 ranks all unused documents of all shards by the seed's terms, and they follow in that order
-until the window is full; the last one is cut, and its rest seeds the next window.
-
-With more than one shard, seeds go in rounds of ``SEEDS``: every shard ranks its unused documents for every
-seed, the shards' best are merged, and the windows claim documents in the seeds' order. A window whose list
-is used up before it is full asks all shards again in the next round. What is left in the end fits one shard
-and is packed there, so one window has padding at most. The work is seeds times documents: it grows
-with the square of the input. The driver holds two numbers a document, no texts.
+vocabulary id and is counted over all documents. Documents are dealt to shards by content: each has a key of
+three consistently sampled terms, rarer ones likelier (two documents agree in a sample as often as their weighted term
+sets overlap), the table is range-partitioned and sorted by the key, and each run of about
+``shard_tokens`` tokens in that order is a shard, whose inverted index is held in memory. Equal keys are split by row, so neither a
+frequent term nor a group of copies makes a shard larger.
+
+In a shard, whole windows are cut off long documents first. Then the first unused document seeds a window,
+BM25 ranks all unused documents of the shard by the seed's terms, and they follow in that order
+until the window is full; the last one is cut, and its rest seeds the next window. Only a shard's last window has padding.
+
+A seed sees its shard, so work and memory grow with the input and not with its square; neighbours in other shards
+are out of its reach. ``tests/llm`` holds the share of true neighbours in the same shard against that of random shards.
 
 Defined results: NULL and empty texts are the end id alone and are packed like any other; repeated
-rows are packed each; ties in a list go to the earlier document of the shards' order; no documents, no rows.
+rows are packed each; ties in a list go to the earlier document of the shard's order; no documents, no rows.
 """
 
 from __future__ import annotations
@@ -25,32 +26,42 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import drop, stored, tidy, union_all
+from lexiloom.llm.common import stored, tidy
 from lexiloom.llm.token_output import encoder_of, tokenizer_path
 
 K1, B = 1.2, 0.75
-#: Seeds of a round, seeds that are scored at once, seeds in a row between processes.
-SEEDS, AT_ONCE, ROW = 4096, 512, 256
-#: Terms in more than this share of a shard's documents are scored by matrix products.
-OFTEN = 1 / 32
+#: Sampled terms of a key.
+SAMPLES = 3
+
+
+def sample_scores(size: int) -> np.ndarray:
+    """(SAMPLES, size): the order in which terms are preferred as samples. Later ids of the vocabulary are rarer and weigh more."""
+    weight = np.log(np.arange(size) + 2.0) ** 2
+    draws = np.random.default_rng(7).random((SAMPLES, size)) ** (1 / weight)
+    return np.argsort(np.argsort(draws, axis=1), axis=1).astype(np.int64)
 
 
 def encoded(docs: DataFrame, end_id: int, path: str) -> DataFrame:
-    """(doc_id, ids): ids as little-endian unsigned integers, end id included."""
+    """(doc_id, ids, key): ids as little-endian unsigned integers, end id included; key: the content's place in the order of shards."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
+        scores = sample_scores(encoder.size)
         for b in batches:
             for lo, texts in encoder.blocks(b.column("text")):
                 flat, offsets = encoder.block(texts, end_id)
                 places = pa.py_buffer((offsets * encoder.dtype.itemsize).astype(np.int32).tobytes())
                 ids = pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, places, pa.py_buffer(flat.tobytes())])
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, len(texts)), ids], ["doc_id", "ids"])
+                key = np.zeros(len(texts), np.int64)
+                for order in scores:
+                    key = key << 20 | np.maximum.reduceat(order[flat], offsets[:-1])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, len(texts)), ids, pa.array(key)], ["doc_id", "ids", "key"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(encode), "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(encode), "doc_id long, ids binary, key long")
 
 
 def distinct(ids: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -79,13 +90,13 @@ def statistics(tokens: DataFrame, dtype: np.dtype, size: int) -> tuple[int, int,
     return int(df[size]), int(df[size + 1]), df[:size]
 
 
-def pack_shard(ids: list[np.ndarray], idf: np.ndarray, mean: float, window: int, rest: np.ndarray | None = None) -> list[list[tuple[int, int, int]]]:
-    """Windows of one shard, each a list of (document, start, length); with ``rest``, of so many last tokens of each."""
+def pack_shard(ids: list[np.ndarray], idf: np.ndarray, mean: float, window: int) -> list[list[tuple[int, int, int]]]:
+    """Windows of one shard, each a list of (document, start, length)."""
     n = len(ids)
     out, left = [], np.zeros(n, np.int64)
     for d, x in enumerate(ids):
-        whole = len(x) // window * window if rest is None else len(x) - int(rest[d])
-        out += [[(d, s, window)] for s in range(0, whole, window)] if rest is None else []
+        whole = len(x) // window * window
+        out += [[(d, s, window)] for s in range(0, whole, window)]
         left[d] = len(x) - whole
     length = np.array([len(x) for x in ids], np.int64)
     start = length - left
@@ -140,186 +151,31 @@ def pack_shard(ids: list[np.ndarray], idf: np.ndarray, mean: float, window: int,
     return out
 
 
-def best_of(scores: np.ndarray, docs: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``most`` best of each row, best first, ties by document."""
-    if scores.shape[1] > most:
-        at = np.argpartition(-scores, most - 1, axis=1)[:, :most]
-        scores, docs = np.take_along_axis(scores, at, 1), np.take_along_axis(docs, at, 1)
-    at = np.lexsort((docs, -scores), axis=1)
-    return np.take_along_axis(scores, at, 1), np.take_along_axis(docs, at, 1)
-
-
-class ShardIndex:
-    """The inverted index of those documents of a shard that have tokens left."""
-
-    def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean: float):
-        place, terms, counts = np.zeros(len(idf), np.int64), [], []
-        for x in ids:
-            u = distinct(x, place)
-            place[u] = np.arange(len(u))
-            terms.append(u)
-            counts.append(np.bincount(place[x], minlength=len(u)))
-        self.n = len(ids)
-        length = np.array([len(x) for x in ids], np.int64)
-        doc = np.repeat(np.arange(self.n), [len(u) for u in terms])
-        term, tf = np.concatenate(terms).astype(np.int64), np.concatenate(counts).astype(np.float64)
-        weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean))).astype(np.float32)
-        often = np.bincount(term, minlength=len(idf)) > self.n * OFTEN
-        self.column = np.where(often, np.cumsum(often) - 1, -1)
-        self.dense = np.zeros((int(often.sum()), self.n), np.float32)
-        some = often[term]
-        self.dense[self.column[term[some]], doc[some]] = weight[some]
-        doc, term, weight = doc[~some], term[~some], weight[~some]
-        order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order], weight[order]
-        self.first = np.searchsorted(term[order], np.arange(len(idf) + 1))
-
-    def scores(self, terms: list[np.ndarray]) -> np.ndarray:
-        """Of every query (distinct terms) and document."""
-        size = [len(x) for x in terms]
-        query, term = np.repeat(np.arange(len(terms)), size), np.concatenate(terms).astype(np.int64)
-        column = self.column[term]
-        asked = np.zeros((len(terms), len(self.dense)), np.float32)
-        asked[query[column >= 0], column[column >= 0]] = 1
-        out = asked @ self.dense
-        query, term = query[column < 0], term[column < 0]
-        begin = self.first[term]
-        sizes = self.first[term + 1] - begin
-        ends = np.cumsum(sizes)
-        if len(ends) and ends[-1]:
-            postings = np.arange(ends[-1]) + np.repeat(begin - ends + sizes, sizes)
-            cell = np.repeat(query, sizes) * self.n + self.doc[postings]
-            out += np.bincount(cell, self.weight[postings], out.size).reshape(out.shape).astype(np.float32)
-        return out
-
-
-def parts_of(flat: bytes, lens: bytes, dtype: np.dtype) -> tuple[list[np.ndarray], np.ndarray]:
-    lens = np.frombuffer(lens, np.int32).astype(np.int64)
-    return np.split(np.frombuffer(flat, dtype), np.cumsum(lens)[:-1]), lens
-
-
-def nearest(index: DataFrame, base: dict[int, int], left: np.ndarray, terms: list[np.ndarray], idf, mean: float, most: int, dtype: np.dtype) -> np.ndarray:
-    """For every query its ``most`` best documents with tokens left, of all shards, best first; -1 fills up."""
-    share = index.sparkSession.sparkContext.broadcast((base, left, terms))
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        base, left, terms = share.value
-        best = np.full((len(terms), most), -1, np.float32)
-        docs = np.full((len(terms), most), -1, np.int64)
-        seen = False
-        for b in batches:
-            for shard, flat, lens in b[["shard", "flat", "lens"]].itertuples(index=False):
-                ids, n = parts_of(flat, lens, dtype)
-                free = np.flatnonzero(left[base[shard] : base[shard] + len(n)])
-                if not len(free):
-                    continue
-                found, seen = ShardIndex([ids[d] for d in free], idf.value, mean), True
-                for lo in range(0, len(terms), AT_ONCE):
-                    some = slice(lo, lo + AT_ONCE)
-                    s = found.scores(terms[some])
-                    s, at = best_of(s, np.broadcast_to(np.arange(len(free)), s.shape), most)
-                    best[some], docs[some] = best_of(np.hstack([best[some], s]), np.hstack([docs[some], base[shard] + free[at]]), most)
-        if seen:
-            for lo in range(0, len(terms), ROW):
-                yield pd.DataFrame({"part": [lo], "best": [best[lo : lo + ROW].tobytes()], "docs": [docs[lo : lo + ROW].tobytes()]})
-
-    def merge(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        best = np.hstack([np.frombuffer(x, np.float32).reshape(-1, most) for x in part["best"]])
-        docs = np.hstack([np.frombuffer(x, np.int64).reshape(-1, most) for x in part["docs"]])
-        return pd.DataFrame({"part": [key[0]], "docs": [best_of(best, docs, most)[1].tobytes()]})
-
-    found = index.select("shard", "flat", "lens").mapInPandas(tidy(search), "part long, best binary, docs binary")
-    rows = found.groupBy("part").applyInPandas(merge, "part long, docs binary").collect()
-    share.destroy()
-    return np.concatenate([np.frombuffer(r.docs, np.int64).reshape(-1, most) for r in sorted(rows, key=lambda r: r.part)])
-
-
-def fetched(index: DataFrame, base: dict[int, int], docs: np.ndarray, dtype: np.dtype, once: bool = False) -> DataFrame:
-    """(doc, ids) of the numbered documents; with ``once``, each id once."""
-    share = index.sparkSession.sparkContext.broadcast((base, np.sort(docs)))
+def shards_of(batches: Iterator[pd.DataFrame], dtype: np.dtype, shard_tokens: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """doc_ids and ids of each shard: rows in their order, as many as hold ``shard_tokens`` tokens."""
+    doc_ids, ids, held = [], [], 0
+    for b in batches:
+        for d, raw in zip(b["doc_id"].astype("Int64").tolist(), b["ids"], strict=True):
+            doc_ids.append(d)
+            ids.append(np.frombuffer(raw, dtype))
+            held += len(ids[-1])
+            if held >= shard_tokens:
+                yield doc_ids, ids
+                doc_ids, ids, held = [], [], 0
+    if ids:
+        yield doc_ids, ids
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        base, docs = share.value
-        for b in batches:
-            for shard, flat, lens in b[["shard", "flat", "lens"]].itertuples(index=False):
-                ids, n = parts_of(flat, lens, dtype)
-                lo, hi = np.searchsorted(docs, [base[shard], base[shard] + len(n)])
-                yield pd.DataFrame({"doc": docs[lo:hi], "ids": [(np.unique(x) if once else x).tobytes() for x in (ids[d - base[shard]] for d in docs[lo:hi])]})
-
-    return index.select("shard", "flat", "lens").mapInPandas(tidy(run), "doc long, ids binary")
-
-
-def pack_all(index: DataFrame, base: dict[int, int], lens: np.ndarray, idf, mean: float, window: int, shard_tokens: int, dtype: np.dtype) -> DataFrame:
-    """(doc, start, n, w, offset): pieces of the windows that hold what whole windows leave of the documents."""
-    spark = index.sparkSession
-    left = (lens % window).astype(np.int32)
-    tables, pieces, opened, rests, windows = [], [], [], [], 0
-
-    def written(rows: list) -> None:
-        columns = np.array(rows, np.int64).reshape(-1, 5).T
-        tables.append(stored(spark.createDataFrame(pa.table(list(map(pa.array, columns)), ["doc", "start", "n", "w", "offset"])), "pieces"))
-
-    def take(d: int, room: int, w: int) -> int:
-        n = min(room, int(left[d]))
-        pieces.append((d, int(lens[d] - left[d]), n, w, window - room))
-        left[d] -= n
-        return room - n
-
-    while True:
-        free = np.flatnonzero(left)
-        fresh = (int(left.sum()) - sum(room for _, room, _, _ in opened)) // window
-        if not opened and (not fresh or lens[free].sum() <= shard_tokens):
-            break
-        first = [d for d in dict.fromkeys(rests) if left[d]]
-        taken = set(first)
-        longest = free[np.argsort(-left[free], kind="stable")[: SEEDS + len(first)]].tolist()
-        seeds = (first + [d for d in longest if d not in taken])[: min(fresh, max(0, SEEDS - len(opened)))]
-        found = fetched(index, base, np.array(seeds), dtype, once=True).collect() if seeds else []
-        got = {d: np.frombuffer(x, dtype) for d, x in found}
-        asked = opened + [(got[d], window, -1, d) for d in seeds]
-        most = min(len(free), 4 + int(2 * window / left[free].mean()))
-        lists = nearest(index, base, left, [x[0] for x in asked], idf, mean, most, dtype)
-        opened, rests = [], []
-        for (terms, room, w, d), found in zip(asked, lists.tolist(), strict=True):
-            if w < 0:
-                if not left[d]:
-                    continue
-                w, windows = windows, windows + 1
-                room = take(d, room, w)
-            for c in found:
-                if room and c >= 0 and left[c]:
-                    room = take(c, room, w)
-                    if left[c]:
-                        rests.append(c)
-            if room:
-                opened.append((terms, room, w, d))
-        written(pieces)
-        pieces = []
-
-    if len(free):
-        last = spark.sparkContext.broadcast({int(d): int(left[d]) for d in free})
-
-        def end(part: pd.DataFrame) -> pd.DataFrame:
-            part = part.sort_values("doc")
-            docs, ids = part["doc"].tolist(), [np.frombuffer(x, dtype) for x in part["ids"]]
-            rows = []
-            for w, members in enumerate(pack_shard(ids, idf.value, mean, window, np.array([last.value[d] for d in docs]))):
-                at = 0
-                for d, s, n in members:
-                    rows.append((docs[d], s, n, windows + w, at))
-                    at += n
-            return pd.DataFrame(rows, columns=["doc", "start", "n", "w", "offset"])
 
-        found = fetched(index, base, free, dtype).withColumn("one", F.lit(0)).groupBy("one").applyInPandas(end, "doc long, start long, n long, w long, offset long")
-        tables.append(stored(found, "pieces"))
-    return union_all(tables) if tables else spark.createDataFrame([], "doc long, start long, n long, w long, offset long")
+def in_shard_order(tokens: DataFrame, partitions: int) -> DataFrame:
+    """Partitions whose rows are sorted by content; rows of one key by their place in the written table, so they part anywhere."""
+    placed = tokens.withColumn("place", F.monotonically_increasing_id())
+    return placed.repartitionByRange(partitions, "key", "place").sortWithinPartitions("key", "place")
 
 
 def pack(docs: DataFrame, *, window: int = 4096, end_id: int = 2, path: str | None = None, shard_tokens: int = 1_000_000, with_ids: bool = True) -> DataFrame:
     """Pieces of packed windows: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids].
 
-    The sequence id is the window's number; whole windows of a document, if there is more than one shard, have
-    the shard's number from 1 times 2**32 added.
+    The sequence id has the partition's number times 2**32 and the window's number in it.
     """
     path = path or tokenizer_path()
     encoder = encoder_of(path)
@@ -327,64 +183,25 @@ def pack(docs: DataFrame, *, window: int = 4096, end_id: int = 2, path: str | No
     tokens = stored(encoded(docs, end_id, path), "tokens")
     count, total, df = statistics(tokens, dtype, size)
     idf = np.log1p((count - df + 0.5) / (df + 0.5))
-    mean, shards = total / max(1, count), max(1, round(total / shard_tokens))
+    mean = total / max(1, count)
     share = docs.sparkSession.sparkContext.broadcast(idf)  # one float per id of the vocabulary
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     names = [x.split()[0] for x in schema.split(", ")]
 
-    def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["doc_id", "ids"], kind="stable", na_position="first")
-        ids = [np.frombuffer(x, dtype) for x in part["ids"]]
-        doc_ids = part["doc_id"].astype("Int64").tolist()
-        rows = []
-        for w, pieces in enumerate(pack_shard(ids, share.value, mean, window)):
-            at = 0
-            for d, s, n in pieces:
-                x = ids[d][s : s + n]
-                rows.append((doc_ids[d], s, n, zlib.crc32(x.astype("<u4").tobytes()), len(ids[d]), (key[0] << 32) + w, at, *([x.astype(np.int32)] * with_ids)))
-                at += n
-        out = pd.DataFrame(rows, columns=names)
-        out["doc_id"] = out["doc_id"].astype("Int64")
-        return out
-
-    dealt = tokens.withColumn("shard", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(shards)))
-    if shards == 1:
-        return dealt.groupBy("shard").applyInPandas(one, schema)
-
-    def listed(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["doc_id", "ids"], kind="stable", na_position="first")
-        lens = np.array([len(x) // dtype.itemsize for x in part["ids"]], np.int32)
-        return pd.DataFrame({"shard": [key[0]], "doc_ids": [part["doc_id"].astype("Int64").astype(object).where(part["doc_id"].notna(), None).tolist()], "lens": [lens.tobytes()], "flat": [b"".join(part["ids"])]})
-
-    parts = dealt.repartition(min(shards, 4096), "shard")
-    index = stored(parts.groupBy("shard").applyInPandas(listed, "shard long, doc_ids array<long>, lens binary, flat binary"), "index")
-    drop(tokens)
-    sizes = {r.shard: np.frombuffer(r.lens, np.int32) for r in index.select("shard", "lens").collect()}
-    base, at = {}, 0
-    for shard in sorted(sizes):
-        base[shard], at = at, at + len(sizes[shard])
-    lens = np.concatenate([sizes[shard] for shard in sorted(sizes)]).astype(np.int64)
-    pieces = pack_all(index, base, lens, share, mean, window, shard_tokens, dtype)
-    order, begins = np.array(sorted(base)), np.array([base[s] for s in sorted(base)])
-    places = docs.sparkSession.sparkContext.broadcast((order, begins))
-
-    def dealt_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        order, begins = places.value
-        for b in batches:
-            k = np.searchsorted(begins, b["doc"].to_numpy(), "right") - 1
-            yield b.assign(shard=order[k], d=b["doc"].to_numpy() - begins[k])[["shard", "d", "start", "n", "w", "offset"]]
-
-    def emitted(key: tuple, part: pd.DataFrame, spots: pd.DataFrame) -> pd.DataFrame:
-        ids, lens = parts_of(part["flat"].iloc[0], part["lens"].iloc[0], dtype)
-        doc_ids, rows = part["doc_ids"].iloc[0], []
-        whole = ((d, s, window) for d, n in enumerate(lens.tolist()) for s in range(0, n // window * window, window))
-        cut = [(d, s, n, (int(key[0]) + 1 << 32) + w, 0) for w, (d, s, n) in enumerate(whole)]
-        for d, s, n, w, at in cut + list(spots[["d", "start", "n", "w", "offset"]].itertuples(index=False, name=None)):
-            x = ids[d][s : s + n]
-            rows.append((doc_ids[d], s, n, zlib.crc32(x.astype("<u4").tobytes()), len(ids[d]), w, at, *([x.astype(np.int32)] * with_ids)))
-        out = pd.DataFrame(rows, columns=names)
-        out["doc_id"] = pd.array([None if x is None or x != x else int(x) for x in out["doc_id"]], "Int64")
-        return out
-
-    spots = pieces.mapInPandas(dealt_back, "shard long, d long, start long, n long, w long, offset long")
-    return index.groupBy("shard").cogroup(spots.groupBy("shard")).applyInPandas(emitted, schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = TaskContext.get().partitionId() << 32
+        for doc_ids, ids in shards_of(batches, dtype, shard_tokens):
+            rows = []
+            for pieces in pack_shard(ids, share.value, mean, window):
+                at = 0
+                for d, s, n in pieces:
+                    x = ids[d][s : s + n]
+                    rows.append((doc_ids[d], s, n, zlib.crc32(x.astype("<u4").tobytes()), len(ids[d]), number, at, *([x.astype(np.int32)] * with_ids)))
+                    at += n
+                number += 1
+            out = pd.DataFrame(rows, columns=names)
+            out["doc_id"] = out["doc_id"].astype("Int64")
+            yield out
+
+    partitions = max(1, min(round(total / shard_tokens), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return in_shard_order(tokens, partitions).select("doc_id", "ids").mapInPandas(tidy(run), schema)
