@@ -91,9 +91,10 @@ def line_classes(docs: DataFrame, *, k: int = SHINGLE, threshold: float = THRESH
     shared = stored(members.groupBy("key").count().where("count > 1").select("key"), "keys")
     meet = stored(members.join(small(shared, shared.count(), 1_000_000), "key", "left_semi").select("key", "id"), "meet")
     drop(members, shared)
-    raw = table.join(meet.select("id").distinct(), "id", "left_semi").select("id", F.encode("line", "UTF-16BE").alias("raw"))
-    # each candidate's shingles are hashed once, all comparisons intersect these sets
-    every = F.transform(starts(F.col("raw"), k), lambda at: F.xxhash64(F.substring(F.col("raw"), at, F.lit(2 * k))))
+    ids = meet.select("id").distinct()
+    raw = table.join(small(ids, ids.count(), 1_000_000), "id", "left_semi").select("id", F.encode("line", "UTF-16BE").alias("raw"))
+    # each candidate's shingles are hashed once, all comparisons intersect these sets; in 32 bits, of n shingles n * n / 2**33 coincide
+    every = F.transform(starts(F.col("raw"), k), lambda at: F.hash(F.substring(F.col("raw"), at, F.lit(2 * k))))
     payload = stored(raw.select("id", F.array_distinct(every).alias("s")), "payload")
 
     def verify(pairs: DataFrame) -> DataFrame:
