@@ -11,8 +11,7 @@ Probabilities: interpolated absolute discounting. With D = n1 / (n1 + 2 n2) per
 p(x | v w) = max(c - D, 0) / c(v w) + g(v w) p(x | w), where g is whatever mass the kept successors leave, and likewise
 for p(x | w); p(x) = (c - D) / N for known tokens and D V / N for the one unknown token, so each sums
 to 1 over the V tokens and the unknown one. Ratios and g are quantised to 16 bits on a logarithmic scale
-(steps of 12/65534 decades). Bigrams and trigrams that occur once are counted like all others but get no
-entry of their own (``keep``); their mass is part of g.
+(steps of 12/65534 decades). Every bigram and trigram of the training rows has an entry, those that occur once too.
 
 Documents are counted in tasks; what goes between tasks are compressed sorted blocks of distinct keys with
 counts, dealt by ranges of the first word, so a frequent word or pair arrives once from each task.
@@ -39,7 +38,7 @@ from lexiloom.llm.common import LOWER, SPACE, UPPER, ascii_lower, drop, release,
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = str.maketrans(UPPER, LOWER)
-FOLDS, HELD, KEEP = 7, 2, 2
+FOLDS, HELD = 7, 2
 STEP = 12 / 65534
 UNKNOWN = 0xFFFFFFFF
 #: Tokens handled at once.
@@ -85,7 +84,7 @@ def packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
 
     deltas = np.diff(keys.astype(np.uint64), prepend=np.uint64(0))
     columns = np.ascontiguousarray(deltas.astype("<u8").view(np.uint8).reshape(-1, 8).T)
-    raw = len(keys).to_bytes(8, "little") + columns.tobytes() + counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    raw = len(keys).to_bytes(8, "little") + columns.tobytes() + np.ascontiguousarray(counts.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
     return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
@@ -95,7 +94,7 @@ def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
     n = int(raw[:8].view("<u8")[0])
     deltas = np.ascontiguousarray(raw[8 : 8 + 8 * n].reshape(8, n).T).view("<u8").reshape(-1)
-    counts = np.ascontiguousarray(raw[8 + 8 * n :].reshape(4, n).T).view("<u4").reshape(-1)
+    counts = np.ascontiguousarray(raw[8 + 8 * n :].reshape(8, n).T).view("<u8").reshape(-1)
     return np.cumsum(deltas, dtype=np.uint64), counts.astype(np.int64)
 
 
@@ -300,7 +299,7 @@ def _blocks(keys: list[tuple[np.ndarray, np.ndarray]], shard_of) -> pd.DataFrame
 
 
 def _counted(tokens: DataFrame, trie: Trie, keys_of, shard_of) -> DataFrame:
-    """(shard, block, n1, n2): one block per shard with all keys that occur KEEP times or more."""
+    """(shard, block, n1, n2): one block per shard with all keys."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader, held, size = reader_of(trie), [], 0
@@ -315,9 +314,8 @@ def _counted(tokens: DataFrame, trie: Trie, keys_of, shard_of) -> DataFrame:
 
     def merge(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         k, c = merged(part["block"].tolist())
-        kept = c >= KEEP
         release()
-        return pd.DataFrame({"shard": [key[0]], "block": [packed(k[kept], c[kept])], "n1": [(c == 1).sum()], "n2": [(c == 2).sum()]})
+        return pd.DataFrame({"shard": [key[0]], "block": [packed(k, c)], "n1": [(c == 1).sum()], "n2": [(c == 2).sum()]})
 
     counted = tokens.where("not held_out").select("ids", "n_tokens").mapInPandas(tidy(count), "shard int, block binary")
     return stored(counted.groupBy("shard").applyInPandas(merge, "shard int, block binary, n1 long, n2 long"), "counts")
@@ -346,7 +344,7 @@ def _pairs(reader: Reader, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _triples(reader: Reader, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Keys of trigrams whose bigrams are both in the trie (others occur less often than KEEP times):
+    """Keys of trigrams:
     first word's shard (12 bits), bigram in it (28 bits), rank of the third (24 bits)."""
     pairs, at = np.unique(_pairs(reader, ids, first), return_inverse=True)
     two = reader.bigrams((pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64), payload=False)
@@ -368,6 +366,8 @@ def train(docs: DataFrame, folder: str, shards: int) -> tuple[Trie, DataFrame]:
     for r in rows:
         parts.append((r.part, r.words, base))
         base += r.words
+    if base >= UNKNOWN - 1:
+        raise OverflowError("word ids have 32 bits")
     tokens, n1, n2 = (sum(r[k] for r in rows) for k in ("tokens", "n1", "n2"))
     d1 = _discount(n1, n2)
     trie = Trie(folder, shards, tuple(parts), base, tokens, 0, (d1, 0.5, 0.5))
@@ -385,7 +385,7 @@ def train(docs: DataFrame, folder: str, shards: int) -> tuple[Trie, DataFrame]:
         total = np.maximum(1, reader.counts(np.arange(lo, hi)))
         ratio = (c - d2) / total[v - lo]
         kept = np.bincount(v - lo, ratio, hi - lo)
-        elias_fano.save(f"{folder}/bigrams-{shard:05d}", elias_fano.Level.encode(v - lo, w, hi - lo) | {"ratio": quantised(ratio), "rest": quantised(np.maximum(0, 1 - kept)), "count": c.astype(np.uint32)})
+        elias_fano.save(f"{folder}/bigrams-{shard:05d}", elias_fano.Level.encode(v - lo, w, hi - lo) | {"ratio": quantised(ratio), "rest": quantised(np.maximum(0, 1 - kept)), "count": c.astype(np.uint64)})
         return len(keys)
 
     _built(counts, trie, bigrams)

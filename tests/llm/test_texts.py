@@ -78,6 +78,12 @@ def test_elias_fano(n, top):
     assert ef.find(ask).tolist() == [place.get(x, -1) for x in ask.tolist()]
 
 
+def test_counts_above_32_bits_survive():
+    keys = np.array([3, 9], np.uint64)
+    k, c = lm_score.merged([lm_score.packed(keys, np.array([2**32 + 7, 1])), lm_score.packed(keys[:1], np.array([1]))])
+    assert k.tolist() == [3, 9] and c.tolist() == [2**32 + 8, 1]
+
+
 def model_of(texts):
     """Interpolated absolute discounting by dictionaries, without quantisation."""
     docs = [lm_score.words_of(t) + ["\n"] for t in texts]
@@ -85,16 +91,13 @@ def model_of(texts):
     two = Counter((a, b) for d in docs for a, b in zip(["<s>", *d], d))
     three = Counter((a, b, c) for d in docs for a, b, c in zip(["<s>", *d], d, d[1:]))
     n, v = sum(one.values()), len(one)
-    keep2 = {k: c for k, c in two.items() if c >= lm_score.KEEP}
-    seen3 = Counter({k: c for k, c in three.items() if k[:2] in keep2 and k[1:] in keep2})
-    keep3 = {k: c for k, c in seen3.items() if c >= lm_score.KEEP}
     discount = lambda c: lm_score._discount(sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values()))
-    d1, d2, d3 = discount(one), discount(two), discount(seen3)
+    d1, d2, d3 = discount(one), discount(two), discount(three)
     heads = one | {"<s>": len(docs)}
     after, after2 = {}, {}
-    for (a, b), c in keep2.items():
+    for (a, b), c in two.items():
         after.setdefault(a, {})[b] = (c - d2) / heads[a]
-    for (a, b, x), c in keep3.items():
+    for (a, b, x), c in three.items():
         after2.setdefault((a, b), {})[x] = (c - d3) / two[a, b]
 
     def p(x, before):
@@ -102,7 +105,7 @@ def model_of(texts):
         b = before[-1]
         if b in heads:
             q = after.get(b, {}).get(x, 0) + (1 - sum(after.get(b, {}).values())) * q
-        if len(before) > 1 and tuple(before[-2:]) in keep2:
+        if len(before) > 1 and tuple(before[-2:]) in two:
             a = after2.get(tuple(before[-2:]), {})
             q = a.get(x, 0) + (1 - sum(a.values())) * q
         return q
