@@ -1,7 +1,7 @@
 """Self-identification: statements of age, occupation, gender, country, city and religion.
 
 A statement is a lead, a captured term (or number) and a tail. Small term lists become alternations in the
-pattern. For large ones (all cities of the world) ``dictionary_matches`` matches the leads only and looks the words that
+pattern. For large ones (all cities of the world) ``detected`` matches the leads only and looks the words that
 follow up in a dictionary table.
 """
 
@@ -16,7 +16,7 @@ from lexiloom.functions import terms as T
 from lexiloom.functions.text import FLAGS, strip
 
 CATEGORIES = ("age", "occupation", "gender", "country", "city", "religion")
-#: Lists longer than this go through ``dictionary_matches``.
+#: Longer lists are looked up in a table; ``detected`` sees to that.
 PATTERN_TERMS = 5_000
 
 
@@ -131,10 +131,19 @@ GRAMMAR: dict[str, list[tuple[str | None, str, str]]] = {
 }
 
 
-def patterns(terms: Terms) -> dict[str, list[str]]:
-    """Regular expressions of each category; none where a list is empty or too long for one."""
-    groups = {name: T.group(xs) if len(xs) <= PATTERN_TERMS else None for name, xs in terms.lists().items()}
-    return {c: [FLAGS + lead + (groups[xs] if xs else "") + tail for xs, lead, tail in rules if not xs or groups[xs]] for c, rules in GRAMMAR.items()}
+def long_lists(terms: Terms) -> frozenset[str]:
+    """Categories with a list too long for a pattern."""
+    lists = terms.lists()
+    return frozenset(c for c, rules in GRAMMAR.items() if any(xs and len(lists[xs]) > PATTERN_TERMS for xs, _, _ in rules))
+
+
+def patterns(terms: Terms, categories: tuple[str, ...] = CATEGORIES) -> dict[str, list[str]]:
+    """Regular expressions of each category; none where a list is empty. Lists too long for a pattern are refused: see ``detected``."""
+    if big := long_lists(terms).intersection(categories):
+        raise ValueError(f"lists of more than {PATTERN_TERMS} terms need detected(): {sorted(big)}")
+    lists = terms.lists()
+    groups = {xs: T.group(lists[xs]) for c in categories for xs, _, _ in GRAMMAR[c] if xs}
+    return {c: [FLAGS + lead + (groups[xs] if xs else "") + tail for xs, lead, tail in GRAMMAR[c] if not xs or groups[xs]] for c in categories}
 
 
 def matches(text: Column, regexes: list[str]) -> Column:
@@ -147,7 +156,7 @@ def matches(text: Column, regexes: list[str]) -> Column:
 
 def detect(text: Column, terms: Terms, categories: tuple[str, ...] = CATEGORIES) -> Column:
     """struct of an array<string> per category; empty arrays where nothing matches, also for NULL."""
-    text, regexes = strip(F.coalesce(text, F.lit(""))), patterns(terms)
+    text, regexes = strip(F.coalesce(text, F.lit(""))), patterns(terms, categories)
     return F.struct(*[matches(text, regexes[c]).alias(c) for c in categories])
 
 
@@ -158,30 +167,57 @@ def any_match(detected: Column, categories: tuple[str, ...] = CATEGORIES) -> Col
     return out
 
 
-def dictionary_matches(df: DataFrame, key: str, text: str, category: str, dictionary: DataFrame, list_name: str, longest: int = 6) -> DataFrame:
-    """(key, matches) for a dictionary (term) too large for a pattern.
+def detected(df: DataFrame, text: Column, terms: Terms, categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
+    """``df`` with _found, the struct of ``detect``. Categories with a list too long for a pattern look its terms up in a table.
+
+    Both ways give the same rows. Each different text is looked up once; a 256-bit digest stands for it in the join.
+    """
+    big = long_lists(terms)
+    short = tuple(c for c in categories if c not in big)
+    if len(short) == len(categories):
+        return df.withColumn("_found", detect(text, terms, categories))
+    body, lists, own = F.coalesce(text, F.lit("")), terms.lists(), df.columns
+    out = df.withColumn("__text", body).withColumn("__digest", F.sha2(F.col("__text").cast("binary"), 256))
+    kinds = out.select("__digest", "__text").dropDuplicates(["__digest"])
+    for c in categories:
+        if c in big:
+            rows = sorted({(xs, " ".join(t.lower().split())) for xs, _, _ in GRAMMAR[c] for t in lists[xs]})
+            table = df.sparkSession.createDataFrame(rows, "list string, term string")
+            got = dictionary_matches(kinds, "__digest", "__text", c, table, max(len(t.split(" ")) for _, t in rows))
+            out = out.join(got.withColumnRenamed("matches", f"__{c}"), "__digest", "left")
+    here = detect(F.col("__text"), terms, short)
+    none = F.array().cast("array<string>")
+    return out.select(*own, F.struct(*[(F.coalesce(F.col(f"__{c}"), none) if c in big else here[c]).alias(c) for c in categories]).alias("_found"))
+
+
+#: How a term may end inside the text's last word: anywhere whole, before its punctuation, before its last mark, or after its first letters.
+ENDINGS = (r"\S+", r"\S*\w", r"\S+(?=[^\s\w](?:\s|\z))", r"\w+")
+
 
-    The leads are matched; of what follows, every beginning that ends after one of the next ``longest`` words
+def dictionary_matches(df: DataFrame, key: str, text: str, category: str, dictionary: DataFrame, longest: int) -> DataFrame:
+    """(key, matches) for a dictionary (list, term) too large for a pattern; terms in lower case, of ``longest`` words at most.
+
+    The leads are matched; of what follows, every beginning that ends in one of the next ``longest`` words
     is looked up (a hash join), and the longest known one whose rest meets the tail is the match, as in a
     longest-first alternation that backs off.
     """
-    rules = [(lead, tail) for xs, lead, tail in GRAMMAR[category] if xs == list_name]
+    rules = [(xs, lead, tail) for xs, lead, tail in GRAMMAR[category] if xs]
     body = strip(F.coalesce(F.col(text), F.lit("")))
 
-    def spot(n: int, lead: str) -> Column:
-        tails = F.regexp_extract_all(body, F.lit(rf"{FLAGS}{lead}(?=((?s:.{{1,200}})))"), F.lit(1))
-        return F.transform(tails, lambda s: F.struct(F.lit(n).alias("rule"), s.alias("s")))
-
-    spots = [spot(n, lead) for n, (lead, _) in enumerate(rules)]
-    found = df.select(key, F.posexplode(F.concat(*spots)).alias("at", "spot")).select(key, "at", "spot.rule", "spot.s")
-    heads = F.array(*[F.regexp_extract("s", rf"(?U)^(\w+(?:\W+\w+){{{n}}})", 1) for n in range(longest)])
-    tries = found.select(key, "at", "rule", "s", F.explode(F.array_distinct(heads)).alias("head")).where("head <> ''").withColumn("term", F.lower("head"))
-    known = tries.join(dictionary.select(F.lower("term").alias("term")).distinct(), "term")
-    rest = F.expr("substring(s, length(head) + 1)")
-    # a boundary before the rest is certain: heads end with a word character and stop before another kind
+    def spot(n: int, xs: str, lead: str) -> Column:
+        tails = F.regexp_extract_all(body, F.lit(rf"{FLAGS}{lead}(?=((?s:.+)))"), F.lit(1))
+        return F.transform(tails, lambda s: F.struct(F.lit(n).alias("rule"), F.lit(xs).alias("list"), s.alias("s")))
+
+    spots = [spot(n, xs, lead) for n, (xs, lead, _) in enumerate(rules)]
+    found = df.select(key, F.posexplode(F.concat(*spots)).alias("at", "spot")).select(key, "at", "spot.*")
+    heads = F.array(*[F.regexp_extract("s", rf"(?U)\A((?:\S+\s+){{{n}}}{end})", 1) for n in range(longest) for end in ENDINGS])
+    tries = found.select(key, "at", "rule", "list", "s", F.explode(F.array_distinct(heads)).alias("head")).where("head <> ''")
+    tries = tries.withColumn("term", F.regexp_replace(F.lower("head"), r"(?U)\s+", " "))
+    known = tries.join(dictionary.distinct(), ["list", "term"])
     ok = F.lit(False)
-    for n, (_, tail) in enumerate(rules):
-        ok = ok | ((F.col("rule") == n) & F.concat(F.lit("x"), rest).rlike(rf"{FLAGS}^x{tail}"))
+    for n, (_, _, tail) in enumerate(rules):
+        # the tail is tried where it stands, behind the head
+        ok = ok | ((F.col("rule") == n) & F.regexp_like("s", F.concat(F.lit(rf"{FLAGS}\A"), F.lit(r"\Q"), F.replace("head", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"), F.lit(tail))))
     best = known.where(ok).groupBy(key, "at").agg(F.max_by("head", F.length("head")).alias("head"))
     return best.groupBy(key).agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("at", "head"))), lambda x: x["head"])).alias("matches"))
 

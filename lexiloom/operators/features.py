@@ -141,17 +141,18 @@ def thinking(text: Column, verbs: tuple[str, ...]) -> dict[str, Column]:
     return out | {"HasCOG": some}
 
 
-def annotate(df: DataFrame, text: str, lexicons: Lexicons, key: str, *, unique: bool = True) -> DataFrame:
+def annotate(df: DataFrame, text: str, lexicons: Lexicons) -> DataFrame:
     """``df`` with all features of column ``text``. Blank texts get NULL features.
 
-    Rows of one ``key`` must have one text; unless ``unique``, each key is scored once.
+    Each different text is scored once, whatever keys its rows have; a 256-bit digest stands for it in the join.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     words = tokens(t)
     local = pronouns(words) | body_parts(t, lexicons.body_parts) | future(words) | thinking(t, lexicons.verbs) | {"WordCount": F.size(words)}
     own = df.columns
-    kinds = df.select(key, text) if unique else df.select(key, text).dropDuplicates([key])
-    out = df.join(scores(kinds, text, key, lexicons), key, "left").withColumns(local)
+    keyed = df.withColumn("__digest", F.sha2(t.cast("binary"), 256))
+    kinds = keyed.select("__digest", text).dropDuplicates(["__digest"])
+    out = keyed.join(scores(kinds, text, "__digest", lexicons), "__digest", "left").withColumns(local)
     out = out.withColumn("TIMEHasPresentNoFuture", ((F.col("TIMECountPresentVerbs") > 0) & (F.col("TIMECountFutureModals") == 0)).cast("int"))
     made = feature_names(lexicons.categories)
     blank = strip(t) == ""
@@ -174,12 +175,11 @@ def feature_names(categories: tuple[str, ...] = ()) -> list[str]:
     return out + [f"COGHas{c}Word" for c in categories] + [n for _, n in SUBJECTS] + ["HasCOG"]
 
 
-def annotate_columns(df: DataFrame, columns: tuple[str, ...], lexicons: Lexicons, key: str) -> DataFrame:
+def annotate_columns(df: DataFrame, columns: tuple[str, ...], lexicons: Lexicons) -> DataFrame:
     """Features of several text columns, prefixed with the column's name if there is more than one."""
     if len(columns) == 1:
-        return annotate(df, columns[0], lexicons, key)
+        return annotate(df, columns[0], lexicons)
     names, out = feature_names(lexicons.categories), df
     for c in columns:
-        got = annotate(df.select(key, c), c, lexicons, key)
-        out = out.join(got.select(key, *[F.col(n).alias(f"{c}_{n}") for n in names]), key)
+        out = annotate(out, c, lexicons).withColumnsRenamed({n: f"{c}_{n}" for n in names})
     return out

@@ -13,10 +13,13 @@ SIZE, TOP = 5, 1_000_000
 
 def parse(lines: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """(ngram, year, match_count, book_count) and the columns ``keep`` of lines with exactly four tab-separated fields and three integers."""
-    f = F.split(column, "\t")
-    number = lambda i, kind: F.trim(F.get(f, i)).try_cast(kind)
-    out = lines.where(F.size(f) == 4).select(F.get(f, 0).alias("ngram"), number(1, "int").alias("year"), number(2, "bigint").alias("match_count"), number(3, "bigint").alias("book_count"), *keep)
-    return out.where("year is not null and match_count is not null and book_count is not null")
+    # the pattern's groups are taken once a line, in one array; a filter on expressions would take them again for every column
+    parts = F.filter(F.array(F.split(column, "\t")), lambda f: F.size(f) == 4)
+    rows = lines.select(F.explode(parts).alias("_f"), *keep)
+    number = lambda i, kind: F.trim(F.get("_f", i)).try_cast(kind)
+    fields = F.struct(F.get("_f", 0).alias("ngram"), number(1, "int").alias("year"), number(2, "bigint").alias("match_count"), number(3, "bigint").alias("book_count"))
+    whole = F.filter(F.array(fields), lambda r: r["year"].isNotNull() & r["match_count"].isNotNull() & r["book_count"].isNotNull())
+    return rows.select(F.inline(whole), *keep)
 
 
 def clean(df: DataFrame, size: int = SIZE) -> DataFrame:
@@ -42,5 +45,5 @@ def keep_top(df: DataFrame, best: DataFrame, ngram: str = "ngram_cleaned") -> Da
 def annotate(df: DataFrame, lexicons: features.Lexicons) -> DataFrame:
     """Features of each row's cleaned n-gram; every distinct n-gram is scored once."""
     kinds = df.select("ngram_cleaned").distinct()
-    scored = features.annotate(kinds.withColumn("_text", F.col("ngram_cleaned")), "_text", lexicons, "ngram_cleaned").drop("_text")
+    scored = features.annotate(kinds, "ngram_cleaned", lexicons)
     return df.join(scored, "ngram_cleaned")

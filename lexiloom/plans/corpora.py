@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lexiloom.operators import features, merge, ngrams
 from lexiloom.sources import readers, sinks
@@ -23,13 +22,11 @@ def annotated_top_ngrams(spark: SparkSession, path: str, lexicons: features.Lexi
 
 def generated_text(spark: SparkSession, path: str, dataset: str, lexicons: features.Lexicons) -> DataFrame:
     df, columns = readers.generated(spark, path, dataset)
-    df = df.withColumn("_key", F.monotonically_increasing_id())
-    return features.annotate_columns(df, columns, lexicons, "_key").drop("_key")
+    return features.annotate_columns(df, columns, lexicons)
 
 
 def feed_texts(spark: SparkSession, path: str, lexicons: features.Lexicons, max_files: int | None = None) -> DataFrame:
-    items = readers.feeds(spark, path, max_files).withColumn("_key", F.xxhash64("file_path", "item_no"))
-    return features.annotate(items, "description", lexicons, "_key").drop("_key", "item_no")
+    return features.annotate(readers.feeds(spark, path, max_files), "description", lexicons).drop("item_no")
 
 
 def merged(spark: SparkSession, paths: list[str], out: str, prefix: str = "id", by_month: bool = False) -> None:

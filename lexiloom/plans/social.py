@@ -9,7 +9,7 @@ from lexiloom import schema
 from lexiloom.functions import age
 from lexiloom.functions.text import clean_newlines, created_at_year, epoch_year, id_text
 from lexiloom.operators import demographics, features, filters, pii
-from lexiloom.operators.detect import Terms, any_match, detect
+from lexiloom.operators.detect import Terms, any_match, detected
 
 
 def post_text() -> Column:
@@ -46,7 +46,7 @@ def identified(df: DataFrame, text: Column, year: Column, terms: Terms, maps: di
     with the adherents' forms of religions; for large dictionaries leave them out and use ``operators.detect.mapped``.
     """
     maps = maps or {}
-    df = df.withColumn("_found", detect(text, terms)).withColumn("_year", year)
+    df = detected(df, text, terms).withColumn("_year", year)
     df = df.where(F.size("_found.age") > 0 if require_age else any_match(F.col("_found")))
     df = df.withColumn("_age", age.resolve(F.col("_found.age"), F.col("_year")))
     low = lambda c: F.transform(F.col(f"_found.{c}"), F.lower)
@@ -100,8 +100,7 @@ def user_posts(posts: DataFrame, users: DataFrame, lexicons: features.Lexicons,
     """Stage 2 of posts: filtered posts of known users; without a birth year they are dropped."""
     kept = posts.where(filters.keep_post(split, low, high)).withColumn("Author", F.col("author"))
     kept = demographics.enrich(kept, users, year=epoch_year(F.col("created_utc")), keep_unknown_age=False)
-    out = kept.withColumn("_key", F.xxhash64("title", "selftext")).withColumn("_text", post_text())
-    out = features.annotate(out, "_text", lexicons, "_key", unique=False)
+    out = features.annotate(kept.withColumn("_text", post_text()), "_text", lexicons)
     made = features.feature_names(lexicons.categories)
     return out.select("Author", "DMGAgeAtPost", *renamed_post(), *made, *schema.BIRTH, *schema.DEMOGRAPHICS)
 
@@ -110,8 +109,7 @@ def user_messages(messages: DataFrame, users: DataFrame, lexicons: features.Lexi
     """Stage 2 of short messages: blank ones are dropped, unknown birth years stay."""
     kept = messages.where("trim(Tweet) <> ''")
     kept = demographics.enrich(kept, users, year=message_year(), keep_unknown_age=True)
-    out = kept.withColumn("_key", F.xxhash64("Tweet"))
-    out = features.annotate(out, "Tweet", lexicons, "_key", unique=False)
+    out = features.annotate(kept, "Tweet", lexicons)
     return out.select("Author", "DMGAgeAtPost", *renamed_message(split), *features.feature_names(lexicons.categories), *schema.DEMOGRAPHICS)
 
 

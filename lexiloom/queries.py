@@ -107,7 +107,7 @@ def author_coalesce(spark, d):
 
 # --- n-grams --------------------------------------------------------------------------------------
 
-NGRAM_LINES = "concat(word, '_NOUN ', get(w, i + 1), '_VERB ', get(w, i + 2), ' ', get(w, i + 3), ' ', get(w, i + 4), '\t', 1990 + i % 20, '\t', 1 + i % 3, '\t1')"
+NGRAM_LINES = "transform(sequence(0, greatest(size(w), 5) - 5), i -> concat(get(w, i), '_NOUN ', get(w, i + 1), '_VERB ', get(w, i + 2), ' ', get(w, i + 3), ' ', get(w, i + 4), '\t', 1990 + i % 20, '\t', 1 + i % 3, '\t1'))"
 GRAM_SQL = r"""gram AS (SELECT doc_id, i, list_aggregate(list_slice(w, i, i + 4), 'string_agg', ' ') AS ngram, 1990 + (i - 1) % 20 AS year, 1 + (i - 1) % 3 AS match_count
 FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS w FROM documents WHERE lang = 'en') WHERE len(w) >= 5))"""
 
@@ -115,8 +115,10 @@ FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM (SELECT doc_id, l
 def ngram_lines(spark: SparkSession, d: str) -> DataFrame:
     """Tab-separated lines with tagged five-word sequences of the English documents."""
     w = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x != "")
-    rows = docs(spark, d).where("lang = 'en'").select(w.alias("w")).where("size(w) >= 5").selectExpr("w", "posexplode(slice(w, 1, size(w) - 4)) AS (i, word)")
-    return rows.selectExpr(f"{NGRAM_LINES} AS value")
+    # exploded as arrays of one, so the words are computed once and not again for every line
+    rows = docs(spark, d).where("lang = 'en'").select(F.explode(F.array(w)).alias("w")).where("size(w) >= 5")
+    # the lines are built as one array, so exploding does not carry the words along
+    return rows.select(F.explode(F.expr(NGRAM_LINES)).alias("value"))
 
 
 @query(f"WITH {GRAM_SQL} SELECT year::INTEGER AS year, count(*) AS n, sum(match_count)::BIGINT AS matches FROM gram GROUP BY 1")
@@ -212,11 +214,25 @@ statements("religion", [("I am a devout christian.", "christian"), ("My religion
 def city_dictionary(spark, d):
     """The same statements through the dictionary join that serves large lists."""
     rows = said(spark, d, "concat(source, '. ', CASE doc_id % 4 WHEN 0 THEN 'I am from Toronto, and' WHEN 1 THEN 'I live in New York City' WHEN 2 THEN 'I live in London fear' ELSE 'I grew up in London yes' END)")
-    names = spark.createDataFrame([("toronto",), ("new york",), ("london",)], "term string")
-    got = detect.dictionary_matches(rows, "doc_id", "statement", "city", names, "city")
+    names = spark.createDataFrame([("city", "toronto"), ("city", "new york"), ("city", "london")], "list string, term string")
+    got = detect.dictionary_matches(rows, "doc_id", "statement", "city", names, 2)
     return got.select("doc_id", F.array_join("matches", "|").alias("found"))
 
 
+BIG = "concat(source, '. I live in City ', {0}, CASE WHEN {0} % 2 = 0 THEN ' Falls. ' ELSE ' ' END, 'I grew up in Nowhere')"
+
+
+def big_list(n: int) -> detect.Terms:
+    return detect.Terms(cities=tuple(f"City {i} Falls" if i % 2 == 0 else f"City {i}" for i in range(n)), countries=("Canada",))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id * 7 % 30000 < 20000 THEN 'City ' || (doc_id * 7 % 30000) || CASE WHEN doc_id * 7 % 30000 % 2 = 0 THEN ' Falls' ELSE '' END ELSE '' END AS found FROM documents")
+def city_large_list(spark, d):
+    """A list far too long for one pattern, through the same entry as short ones."""
+    rows = said(spark, d, BIG.format("(doc_id * 7 % 30000)"))
+    return detect.detected(rows, F.col("statement"), big_list(20_000)).select("doc_id", F.array_join("_found.city", "|").alias("found"))
+
+
 FAITHS = [("christianity", "Christianity", "Abrahamic"), ("catholicism", "Christianity", "Abrahamic"), ("buddhism", "Buddhism", "Dharmic"), ("atheism", "Atheism", None), ("druze", "Druze", "Abrahamic")]
 
 
@@ -337,7 +353,7 @@ def thinking(spark, d):
 @query()
 def annotate_documents(spark, d):
     """All feature columns of all documents (checked piece by piece by the queries above)."""
-    return features.annotate(docs(spark, d).select("doc_id", "text"), "text", lexicon(spark), "doc_id").drop("text")
+    return features.annotate(docs(spark, d).select("doc_id", "text"), "text", lexicon(spark)).drop("text")
 
 
 # --- dates, coercion, merge -----------------------------------------------------------------------

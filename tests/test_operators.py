@@ -51,7 +51,7 @@ def test_empty_lists_match_nothing(spark):
 def test_dictionary_backs_off_to_shorter_terms(spark):
     df = spark.createDataFrame([(1, "I am from New York City, and"), (2, "I am from New York Citadel"), (3, "I live in York fear")], "k int, t string")
     names = spark.createDataFrame([("new york",), ("new york city",), ("york",)], "term string")
-    got = {r.k: r.matches for r in detect.dictionary_matches(df, "k", "t", "city", names, "city").collect()}
+    got = {r.k: r.matches for r in detect.dictionary_matches(df, "k", "t", "city", names.selectExpr("'city' AS list", "lower(term) AS term"), 3).collect()}
     assert got == {1: ["New York City"], 2: ["New York"]}
 
 
@@ -209,8 +209,10 @@ def test_merge(spark, tmp_path):
     sinks.parquet(out, str(tmp_path / "m"), by_month=True)
     assert spark.read.parquet(str(tmp_path / "m")).count() == 2
     ms = spark.createDataFrame([("1600000000000",)], "created_utc string")
-    assert merge.in_millis(ms, "created_utc") and merge.year_month(ms, frozenset({"created_utc"})).first().Year == 2020
-    assert [merge.id_group(p) for p in ("x/tusc/city.tsv", "x/tusc/my_country.tsv", "x/ai-gen/z.tsv", "q")] == ["tusc_city", "tusc_ctry", "ai", "unknown"]
+    assert merge.in_millis(ms) == {"created_utc"} and merge.year_month(ms, frozenset({"created_utc"})).first().Year == 2020
+    paths = spark.createDataFrame([("x/tusc/city.tsv",), ("./x/tusc/my_country.tsv",), ("/d/x/AI-gen/z.tsv",), ("q",), ("a/books/2/b.tsv",), ("tusc/other.tsv",), ("a/ai/b.tsv",)], "p string")
+    got = [tuple(r) for r in paths.select(*merge.corpus(F.col("p"))).collect()]
+    assert got == [("x/tusc/city.tsv", "Twitter", "tusc_city"), ("x/tusc/my_country.tsv", "Twitter", "tusc_ctry"), ("x/AI-gen/z.tsv", "AI-Generated", "ai"), ("q", "Unknown", "unknown"), ("books/2/b.tsv", "Books", "books"), ("tusc/other.tsv", "Twitter", "tusc"), ("a/ai/b.tsv", "Unknown", "ai")]
 
 
 def test_filters_on_nulls(spark):
@@ -244,3 +246,25 @@ def test_streams_give_batch_results(spark, tmp_path):
 
 def test_strip(spark):
     assert spark.range(1).select(strip(F.lit("  a \x1c"))).first()[0] == "a"
+
+
+def test_long_lists_match_like_short_ones(spark, monkeypatch):
+    """The same statements with every list below the pattern's limit and above it."""
+    terms = detect.Terms(occupations=("teacher", "art teacher", "c++ programmer"), genders=("man", "woman"), countries=("Canada", "United States", "Côte d'Ivoire"), cities=("Toronto", "New York", "Washington, D.C.", "York Mills"), religions=("Islam", "Buddhism"))
+    said = ["I am a teacher.", "I work as an art  teacher at Big School!", "I am a C++ programmer, and", "I'm a woman", "I am not a man", "I am from the United  States", "I'm Canadian.", "I live in Côte d'Ivoire!", "I live in New York fear and", "I am from Washington, D.C., and", "I grew up in York Mills\nI live in Toronto\tnow", "I am a Buddhist who", "I converted to islam", "I grew up in " + "x " * 300 + "Toronto", "", None, "I am 30 years old. I live in Toronto. I live in New York. I live in TORONTO."]
+    df = spark.createDataFrame([(i % 5 or None, t) for i, t in enumerate(said * 2)], "k int, t string")
+    rows = lambda: sorted(map(repr, detect.detected(df, F.col("t"), terms).collect()))
+    short = rows()
+    monkeypatch.setattr(detect, "PATTERN_TERMS", 0)
+    assert rows() == short and len(short) == len(said) * 2
+    with pytest.raises(ValueError):
+        detect.detect(F.col("t"), terms)
+
+
+def test_features_do_not_depend_on_keys(spark):
+    words = spark.createDataFrame([("joy", 0.9, 0.5, 0.1, *[1] * 10, 3, 3, 3, 3, 1, 0)], lexicons.WIDE)
+    df = spark.createDataFrame([(1, "joy joy"), (1, "none"), (None, "joy"), (None, "joy"), (2, None), (2, " ")], "k int, t string")
+    got = features.annotate(df, "t", features.Lexicons(words, (), ())).select("k", "t", "NRCCountJoyWords").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(1, "joy joy", 2), (1, "none", 0), (None, "joy", 1), (None, "joy", 1), (2, None, None), (2, " ", None)]))
+    both = features.annotate_columns(df.selectExpr("t AS a", "t AS b"), ("a", "b"), features.Lexicons(words, (), ()))
+    assert both.count() == 6 and {"a_WordCount", "b_WordCount"} < set(both.columns)
