@@ -38,8 +38,9 @@ def clean_newlines(c: Column) -> Column:
 
 
 def strip_pos_tags(c: Column) -> Column:
-    """Every word without its last ``_TAG``."""
-    return F.array_join(F.transform(split_words(c), lambda w: F.regexp_replace(w, r"(?s)_[^_]*\z", "")), " ")
+    """Every word without its last ``_TAG``, words parted by single blanks."""
+    words = strip(F.regexp_replace(c, rf"(?U){BLANK}+", " "))
+    return F.regexp_replace(words, r"_[^_ ]*(?= |\z)", "")
 
 
 def is_blank(c: Column) -> Column:

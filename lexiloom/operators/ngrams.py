@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.functions.text import split_words, strip_pos_tags
+from lexiloom.functions.text import strip_pos_tags
 from lexiloom.operators import features
 
 SIZE, TOP = 5, 1_000_000
@@ -24,7 +24,9 @@ def parse(lines: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -
 
 def clean(df: DataFrame, size: int = SIZE) -> DataFrame:
     """With ngram_cleaned (no part-of-speech tags); only n-grams of ``size`` words stay."""
-    return df.withColumn("ngram_cleaned", strip_pos_tags(F.col("ngram"))).where(F.size(split_words(F.col("ngram_cleaned"))) == size)
+    # exploded as an array of one: a filter on the expression itself would compute it twice
+    out = df.select("*", F.explode(F.array(strip_pos_tags(F.col("ngram")))).alias("ngram_cleaned"))
+    return out.where(F.col("ngram_cleaned").rlike(rf"\A *(?:[^ ]+ +){{{size - 1}}}[^ ]+ *\z"))
 
 
 def counts(df: DataFrame, ngram: str = "ngram_cleaned") -> DataFrame:
