@@ -104,7 +104,7 @@ def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarr
         keys = np.sort(keys)
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
         return keys[first], np.diff(np.append(first, len(keys)))
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
@@ -174,7 +174,7 @@ class Reader:
         """Training counts; 0 for the unknown token, the number of training documents for the start."""
         out = np.zeros(len(ids), np.int64)
         out[ids == self.trie.words] = self.trie.starts
-        order = np.argsort(ids, kind="stable")
+        order = np.argsort(ids)
         ask = ids[order]
         cuts = np.searchsorted(ask, np.append(self.first, self.trie.words))
         for k in range(len(self.parts)):
@@ -186,7 +186,7 @@ class Reader:
     def by_shard(self, first: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         known = np.flatnonzero(first <= self.trie.words)
         shard = self.shard_of(first[known])
-        order = np.argsort(shard, kind="stable")
+        order = np.argsort(shard.astype(np.uint16), kind="stable")  # at most 4096 shards: sorted by radix
         cuts = np.flatnonzero(np.diff(shard[order], prepend=-1)) if len(order) else []
         for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
             yield int(shard[order[a]]), known[order[a:b]]
