@@ -5,7 +5,8 @@ cut alike wherever it stands, but for its first sentence, which may go on from o
 fewer than ``UNIT`` words are left out. Equal paragraphs (by their words) are collapsed. Then MinHash over
 five-word shingles, bands tuned for high recall (2 rows, 8 bands: 0.9997 at similarity 0.8; equal ones need
 none), exact Jaccard similarity of paragraphs that share a band, and components by
-a distributed union-find. Runs of repeated paragraphs in a line make a passage if they have ``min_words`` words.
+a distributed union-find. Runs of repeated paragraphs make a passage if they have ``min_words`` words within a line or
+``wide_words`` over several lines; left-out paragraphs do not end a run, nor do they count.
 
 Of each component the occurrence that stays is the smallest by (doc_id, row, start).
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.llm.common import drop, link_buckets, small, stored, tidy
 
-SHINGLE, THRESHOLD, BANDS, ROWS, MIN_WORDS, UNIT = 5, 0.8, 8, 2, 20, 6
+SHINGLE, THRESHOLD, BANDS, ROWS, MIN_WORDS, WIDE_WORDS, UNIT = 5, 0.8, 8, 2, 20, 50, 6
 OUTSIDE = re.compile(r"[\W_]+")
 #: NULL doc_ids count as this one.
 LAST = (1 << 63) - 1
@@ -199,7 +200,7 @@ def rare_shingles(ids: DataFrame, payload: DataFrame, k: int, threshold: float)
     return out
 
 
-def repeated_paragraphs(docs: DataFrame, *, k: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, min_words: int = MIN_WORDS, unit: int = UNIT) -> DataFrame:
+def repeated_paragraphs(docs: DataFrame, *, k: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, min_words: int = MIN_WORDS, wide_words: int = WIDE_WORDS, unit: int = UNIT) -> DataFrame:
     """(doc_id, row, pos, start, n_chars, n_words, component, keep_doc, keep): every paragraph of a repeated passage.
 
     start and n_chars: the span in the text, in characters; component: the digest of one of the class; keep_doc: the document whose occurrence
@@ -223,10 +224,12 @@ def repeated_paragraphs(docs: DataFrame, *, k: int = SHINGLE, threshold: float =
     alone = distinct.where("n > 1").select("h1", "h2", digest.alias("component")).join(near, ["h1", "h2"], "left_anti")
     classes = stored(near.unionByName(alone), "classes")
     spots = table.join(classes, ["h1", "h2"]).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "row", "pos", "no", "start", "n_chars", "n_words", "component").dropDuplicates(["row", "no"])
-    island = F.col("no") - F.row_number().over(Window.partitionBy("row", "pos").orderBy("no"))
-    runs = Window.partitionBy("row", "pos", "island")
-    spots = spots.withColumn("island", island).withColumn("run", F.sum("n_words").over(runs)).where(F.col("run") >= min_words)
-    spots = stored(spots.drop("island", "run", "no"), "repeats")
+    # paragraphs are numbered through the document, so a number less its rank is the same along a run
+    island = F.col("no") - F.row_number().over(Window.partitionBy("row").orderBy("no"))
+    words = lambda *by: F.sum("n_words").over(Window.partitionBy("row", "island", *by))
+    spots = spots.withColumn("island", island).withColumns({"run": words(), "in_line": words("pos")})
+    spots = spots.where((F.col("in_line") >= min_words) | (F.col("run") >= wide_words))
+    spots = stored(spots.drop("island", "run", "in_line", "no"), "repeats")
     best = spots.groupBy("component").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "row", "start")).alias("best")).where("times > 1")
     drop(table, distinct, shared, meet, ids, payload, classes)
     keep = (F.col("best.row") == F.col("row")) & (F.col("best.start") == F.col("start"))

@@ -289,14 +289,12 @@ def test_passages_against_brute_force(spark):
     classes = union(links, kinds)
     size = Counter(classes[s[-1]] for s in spots)
     repeated = [s for s in spots if size[classes[s[-1]]] > 1]
-    runs = defaultdict(int)
-    place = {}
+    runs, place = Counter(), {}
     for s in sorted(repeated, key=lambda s: (repr(s[0]), s[1])):
-        key = (s[0], s[2])
-        last = place.get((s[0], s[1] - 1))
-        place[s[0], s[1]] = run = last if last and last[1] == s[2] else (*key, s[1])
+        place[s[0], s[1]] = run = place.get((s[0], s[1] - 1), (s[0], s[1]))
         runs[run] += len(s[-1])
-    long = [s for s in repeated if runs[place[s[0], s[1]]] >= 20]
+        runs[run, s[2]] += len(s[-1])
+    long = [s for s in repeated if runs[place[s[0], s[1]], s[2]] >= 20 or runs[place[s[0], s[1]]] >= 50]
     size = Counter(classes[s[-1]] for s in long)
     want = {(s[0], s[3], s[4]): classes[s[-1]] for s in long if size[classes[s[-1]]] > 1}
     mine = {(r.doc_id, r.start, r.n_chars): r.component for r in got}
@@ -312,6 +310,16 @@ def test_passages_against_brute_force(spark):
     assert substring_dedup.repeated_paragraphs(spark.createDataFrame([], KIND)).count() == 0
 
 
+def test_passages_over_several_lines(spark):
+    rng = random.Random(12)
+    passage = [" ".join(words(rng, 12)) for _ in range(5)]
+    short = [" ".join(words(rng, 12)) for _ in range(2)]
+    other = lambda: " ".join(words(rng, 14))
+    docs = [(i, "\n".join([other(), *passage, other()]), "en") for i in range(3)] + [(10 + i, "\n".join([other(), *short, other()]), "en") for i in range(3)]
+    got = Counter(r.doc_id for r in substring_dedup.repeated_paragraphs(spark.createDataFrame(docs, KIND)).collect())
+    assert got == {0: 5, 1: 5, 2: 5}
+
+
 def test_bands_of_passages_have_high_recall():
     recall = lambda s: 1 - (1 - s**substring_dedup.ROWS) ** substring_dedup.BANDS
     assert recall(substring_dedup.THRESHOLD) >= 0.999
