@@ -231,6 +231,9 @@ def repeated_paragraphs(docs: DataFrame, *, k: int = SHINGLE, threshold: float =
     spots = spots.where((F.col("in_line") >= min_words) | (F.col("run") >= wide_words))
     spots = stored(spots.drop("island", "run", "in_line", "no"), "repeats")
     best = spots.groupBy("component").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "row", "start")).alias("best")).where("times > 1")
+    # a very frequent passage is one component: broadcast where counted small, its occurrences stay where they are
+    best = stored(best.select("component", "best"), "best")
+    best = small(best, best.count())
     drop(table, distinct, shared, meet, ids, payload, classes)
     keep = (F.col("best.row") == F.col("row")) & (F.col("best.start") == F.col("start"))
     back = lambda c: F.nullif(F.col(c), F.lit(LAST))
