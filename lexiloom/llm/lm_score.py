@@ -227,7 +227,9 @@ class Reader:
             level, x = self.trigram_shard(s)
             rest = PROBABILITY[x["rest"][context[i]]]
             found = np.flatnonzero(rank[i] >= 0)
-            k, _ = level.find(context[i[found]], rank[i[found]])
+            # each different trigram once and in order, so the level is read forwards
+            asked, back = np.unique(context[i[found]] << 24 | rank[i[found]], return_inverse=True)
+            k = level.find(asked >> 24, asked & (1 << 24) - 1)[0][back]
             ratio = np.zeros(len(i))
             ratio[found[k >= 0]] = PROBABILITY[x["ratio"][k[k >= 0]]]
             p[i] = ratio + rest * p[i]
