@@ -25,7 +25,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -34,8 +34,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm import elias_fano, shared_files
-from lexiloom.llm.common import LOWER, SPACE, UPPER, ascii_lower, drop, release, stored, tidy
+from lexiloom.llm.common import LOWER, UPPER, drop, release, stored, tidy
 
+#: White space but the blank.
+BLANKS = "\t\n\x0b\x0c\r"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = str.maketrans(UPPER, LOWER)
 FOLDS, HELD = 7, 2
@@ -64,8 +66,14 @@ def word_hash(word: str) -> int:
 
 
 def token_hashes(text: Column) -> Column:
-    """XXH64 of every token of a text, the end token last."""
-    words = F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SPACE), "")
+    """XXH64 of every token of a text, the end token last.
+
+    Texts of ASCII alone need no translation letter by letter, and a split at one blank needs no pattern.
+    """
+    text = F.coalesce(text, F.lit(""))
+    ascii_ = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(" ")), BLANKS, F.lower(text))
+    other = F.translate(text, UPPER + BLANKS, LOWER + " " * len(BLANKS))
+    words = F.array_remove(F.split(F.when(F.octet_length(text) == F.char_length(text), ascii_).otherwise(other), " "), "")
     return F.concat(F.transform(words, lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(END))))
 
 
