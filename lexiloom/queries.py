@@ -400,12 +400,6 @@ def fill_union(spark, d):
     return merge.fill_union([a, b])
 
 
-@query("SELECT doc_id, true AS well_formed FROM documents")
-def row_id(spark, d):
-    made = merge.row_id(["doc_id", "text"], "reddit")
-    return docs(spark, d).select("doc_id", (made.rlike("^id_reddit_[0-9]{12}$") & (made == merge.row_id(["doc_id", "text"], "reddit"))).alias("well_formed"))
-
-
 # --- personal data, feeds -------------------------------------------------------------------------
 
 
@@ -494,3 +488,9 @@ def month_urls(spark, d):
 @query("SELECT unnest(regexp_extract_all(html, 'href=[\"'']([^\"'']*)[\"'']', 1)) AS url FROM pages")
 def href_urls(spark, d):
     return readers.links(spark.read.parquet(f"{d}/pages.parquet"), "html")
+
+
+# queries over written files register themselves
+from lexiloom import file_queries  # noqa: E402
+
+SQL["language_gate"] = file_queries.LANGUAGE_SQL
