@@ -53,9 +53,11 @@ def aggregate_users(df: DataFrame, *, year: Column, order: tuple[str, ...], key:
 def enrich(posts: DataFrame, users: DataFrame, *, year: Column, keep_unknown_age: bool, key: str = "Author") -> DataFrame:
     """Posts of known users with their demographics and DMGAgeAtPost; ages outside 13 to 99 are dropped.
 
-    Where the birth year is unknown the post goes, or stays with NULL age under ``keep_unknown_age``.
+    Where the birth year is unknown the post goes, or stays with NULL age under ``keep_unknown_age``. Of several rows of
+    a user the least one with a known birth year counts.
     """
-    users = users.dropDuplicates([key])
+    rest = [c for c in users.columns if c != key]
+    users = users.groupBy(key).agg(F.min(F.struct(F.col("DMGMajorityBirthyear").isNull().alias("_unknown"), *rest)).alias("_user")).select(key, *[F.col(f"_user.`{c}`") for c in rest])
     out = posts.join(users, key).withColumn("DMGAgeAtPost", (year - F.col("DMGMajorityBirthyear").try_cast("int")).cast("int"))
     good = F.col("DMGAgeAtPost").between(age.LOW, age.HIGH)
     return out.where(good | F.col("DMGAgeAtPost").isNull() if keep_unknown_age else good)

@@ -268,3 +268,16 @@ def test_features_do_not_depend_on_keys(spark):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(1, "joy joy", 2), (1, "none", 0), (None, "joy", 1), (None, "joy", 1), (2, None, None), (2, " ", None)]))
     both = features.annotate_columns(df.selectExpr("t AS a", "t AS b"), ("a", "b"), features.Lexicons(words, (), ()))
     assert both.count() == 6 and {"a_WordCount", "b_WordCount"} < set(both.columns)
+
+
+def test_enrich_takes_the_same_row_of_repeated_users(spark):
+    from pyspark.sql import functions as F
+
+    from lexiloom.operators import demographics
+
+    users = spark.createDataFrame([("a", None, "x"), ("a", "1990", "z"), ("a", "1980", "y"), ("b", None, "q")], "Author string, DMGMajorityBirthyear string, DMGRawExtractedCity string")
+    posts = spark.createDataFrame([("a",), ("b",), ("c",)], "Author string")
+    for part in (1, 7):
+        got = demographics.enrich(posts, users.repartition(part), year=F.lit(2020), keep_unknown_age=True)
+        rows = sorted((r.Author, r.DMGAgeAtPost, r.DMGRawExtractedCity) for r in got.collect())
+        assert rows == [("a", 40, "y"), ("b", None, "q")]
