@@ -15,7 +15,7 @@ from lexiloom import schema
 from lexiloom.functions.language import WORDS as FUNCTION_WORDS
 from lexiloom.operators import detect, features, merge, ngrams, pii
 from lexiloom.plans import social
-from lexiloom.queries import GRAM_SQL, LEXICON, LEXICON_SQL, NAMES, TERMS, TOKENS_SQL, docs, lexicon, ngram_lines, query, said
+from lexiloom.queries import GRAM_SQL, LEXICON, LEXICON_SQL, NAMES, SQL, TERMS, TOKENS_SQL, docs, lexicon, ngram_lines, query, said
 from lexiloom.sources import lexicons, readers, sinks
 
 
@@ -242,7 +242,7 @@ def row_id(spark, d):
 
 
 _share = lambda k: "len(list_filter(w, lambda x: x IN (" + ", ".join(f"'{x}'" for x in FUNCTION_WORDS[k].split()) + "))) / greatest(1, len(w))::DOUBLE"
-LANGUAGE_SQL = (
+SQL["language_gate"] = (
     "WITH t AS (SELECT doc_id, lang, list_filter(regexp_split_to_array(lower(left(text, 4000)), '[^\\p{L}]+'), lambda x: x <> '') AS w FROM documents), "
     f"s AS (SELECT doc_id, lang, {', '.join(f'{_share(k)} AS share_{k}' for k in FUNCTION_WORDS)} FROM t) "
     f"SELECT * FROM s WHERE share_en >= 0.1 AND {' AND '.join(f'share_en > share_{k}' for k in FUNCTION_WORDS if k != 'en')}"

@@ -491,6 +491,4 @@ def href_urls(spark, d):
 
 
 # queries over written files register themselves
-from lexiloom import file_queries  # noqa: E402
-
-SQL["language_gate"] = file_queries.LANGUAGE_SQL
+from lexiloom import file_queries  # noqa: E402, F401
