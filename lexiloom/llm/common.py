@@ -21,6 +21,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Broadcast hints are given only to tables whose counted rows stay at or under this.
 BROADCAST_ROWS = 200_000
+#: Buckets of up to so many members compare all their sketches: seconds of one task, at most.
+CROWD = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -160,7 +162,7 @@ def joined_components(comp: DataFrame, links: DataFrame) -> DataFrame:
     return moved.select("id", F.coalesce("to", "component").alias("component")).unionByName(new.select("id", "component"))
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 2, tokens: Callable[[DataFrame], DataFrame] | None = None, threshold: float = 0.8) -> DataFrame:
+def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 2, tokens: Callable[[DataFrame], DataFrame] | None = None, threshold: float = 0.8, sketch: DataFrame | None = None, near: str = "true", crowd: int = CROWD) -> DataFrame:
     """Components of all verified pairs that share a bucket, without emitting all pairs of a bucket.
 
     ``members`` has (key, id), one row per membership; ``verify`` keeps those rows of (a, b) that
@@ -173,7 +175,9 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], r
        ``tokens``, all that share a token. That function turns (id, c) into a table (id, c, token, rank, n)
        with each id's rarest tokens, their ranks from 1 and the size of its set; sets of Jaccard similarity
        ``threshold`` share one, and the first they share stands so early in both that what follows it
-       can make up the overlap they need (prefix and positional filtering).
+       can make up the overlap they need (prefix and positional filtering). With a ``sketch``, a table (id, ...)
+       of which ``near`` holds for every linked pair (SQL over its columns and the second one's, named with a 2 at
+       the end), buckets of up to ``crowd`` members compare the sketches of all pairs; only larger ones go by tokens.
 
     A bucket of n near copies costs about n comparisons; only pairs that no chain of links joins
     are compared one by one. Returns (id, component) for linked ids.
@@ -193,6 +197,19 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], r
         mixed = few(lab.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"), rows)
         return stored(few(lab.join(mixed, "key", "left_semi"), rows), "members")
 
+    def beside(df: DataFrame, condition: str) -> DataFrame:
+        """(id, to): pairs of rows of a bucket, as far as their sketches allow a link."""
+        df = df.select("key", "id", "rep", "c")
+        df = df if sketch is None else df.join(sketch, "id")
+        other = df.select("key", *[F.col(x).alias(x + "2") for x in df.columns if x != "key"])
+        return df.join(other, "key").where(f"{condition} and {near}").select("id", F.col("id2").alias("to"))
+
+    def by_tokens(df: DataFrame) -> DataFrame:
+        own = tokens(few(df.select("id", "c").distinct(), rows))
+        other = own.select("token", F.col("id").alias("to"), F.col("c").alias("c2"), F.col("rank").alias("rank2"), F.col("n").alias("n2"))
+        enough = f"1 + least(n - rank, n2 - rank2) >= (n + n2) * {threshold / (1 + threshold)!r}D - 1e-9"
+        return own.join(other, "token").where(f"c < c2 and {enough}").select("id", "to")
+
     for r in range(1, rounds + 2):
         left = labelled(wide)
         drop(wide)
@@ -205,16 +222,17 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], r
             per = few(left.groupBy("key", "c").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", F.lit(r)), "id"))["id"].alias("to")), rows)
             best = few(per.groupBy("key").agg(F.max(F.struct("n", "c", "to")).alias("best")).where("best.n > 1").select("key", F.col("best.c").alias("top"), F.col("best.to").alias("to")), rows)
             pairs = left.join(best, "key").where("c <> top").select("id", "to")
-        elif tokens:
-            own = tokens(few(left.select("id", "c").distinct(), rows))
-            other = own.select("token", F.col("id").alias("to"), F.col("c").alias("c2"), F.col("rank").alias("rank2"), F.col("n").alias("n2"))
-            enough = f"1 + least(n - rank, n2 - rank2) >= (n + n2) * {threshold / (1 + threshold)!r}D - 1e-9"
-            pairs = own.join(other, "token").where(f"c < c2 and {enough}").select("id", "to")
+        elif tokens and sketch is None:
+            pairs = by_tokens(left)
         else:
-            left = left.select("key", "id", "rep", "c")
-            other = left.select("key", F.col("id").alias("to"), F.col("c").alias("c2"), F.col("rep").alias("rep2"))
+            every, crowded = left, None
+            if tokens:
+                crowded = few(left.groupBy("key").count(), rows).where(F.col("count") > crowd).select("key")
+                every = left.join(crowded, "key", "left_anti")
             # pairs with the bucket's smallest member were compared in the first step
-            pairs = left.join(other, "key").where("c < c2 and id <> rep and to <> rep2").select("id", "to")
+            pairs = beside(every, "c < c2 and id <> rep and id2 <> rep2")
+            if crowded is not None and not crowded.isEmpty():
+                pairs = pairs.unionByName(by_tokens(left.join(crowded, "key", "left_semi")))
         pairs = few(pairs.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct(), rows)
         more = stored(verify(pairs), "links")
         if not more.isEmpty():

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from lexiloom.llm.common import drop, link_buckets, small, stored
 
 SHINGLE, THRESHOLD, VALUES, ROWS, PARTITIONS = 7, 0.8, 40, 5, 2
+#: Words of 64 bits in a sketch, a power of two.
+WORDS = 16
 #: NULL doc_ids count as this one.
 LAST = (1 << 63) - 1
 
@@ -83,6 +85,35 @@ def band_keys(lines: DataFrame, k: int, values: int, rows: int, partitions: int)
     return signatures(lines, k, values).select("id", F.explode(F.array(*keys)).alias("key"))
 
 
+def sketches(lines: DataFrame, k: int, words: int = WORDS) -> DataFrame:
+    """(id, size, w0_, w1_, ...) of lines (id, raw): the number of shingles, repeats included, and a set of 64 * words bits with one for each."""
+    hashes = spread(lines, k)
+    word = lambda j: F.expr(f"bit_or(shiftleft(1L, cast(h & 63 as int))) FILTER (WHERE (shiftrightunsigned(h, 6) & {words - 1}) = {j})")
+    return hashes.groupBy("id").agg(F.count("*").alias("size"), *[F.coalesce(word(j), F.lit(0).cast("long")).alias(f"w{j}_") for j in range(words)])
+
+
+def may_be_similar(threshold: float, words: int = WORDS) -> str:
+    """Condition on two sketches that holds for all similar lines.
+
+    Bits that only one has come from as many shingles at least that only one has, of which similar sets have few.
+    """
+    differ = " + ".join(f"bit_count(w{j}_ ^ w{j}_2)" for j in range(words))
+    return f"{differ} <= (size + size2) * {(1 - threshold) / (1 + threshold)!r}D + 1e-9"
+
+
+def shingle_sets(lines: DataFrame, k: int) -> DataFrame:
+    """(id, s) of lines (id, raw): the different shingles' hashes in 32 bits; of n shingles n * n / 2**33 coincide."""
+    hashes = spread(lines, k).select("id", F.expr("cast(shiftright(h, 32) as int)").alias("h"))
+    return hashes.groupBy("id").agg(F.collect_list("h").alias("s")).select("id", F.array_distinct("s").alias("s"))
+
+
+def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Those pairs (a, b) whose sets (id, s) are similar enough."""
+    x, y = sets.select(F.col("id").alias("a"), F.col("s").alias("x")), sets.select(F.col("id").alias("b"), F.col("s").alias("y"))
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", (F.size("x") + F.size("y")).alias("t"), F.size(F.array_intersect("x", "y")).alias("s"))
+    return both.where(F.col("s") >= F.lit(threshold) * (F.col("t") - F.col("s"))).select("a", "b")
+
+
 def line_classes(docs: DataFrame, *, k: int = SHINGLE, threshold: float = THRESHOLD, values: int = VALUES, rows: int = ROWS, partitions: int = PARTITIONS) -> DataFrame:
     """(h1, h2, keep): lines with copies or links; keep = the doc_id where one occurrence stays, NULL where none does."""
     # numbers once given are written down, so they stay the same whatever is computed again
@@ -92,25 +123,28 @@ def line_classes(docs: DataFrame, *, k: int = SHINGLE, threshold: float = THRESH
     meet = stored(members.join(small(shared, shared.count(), 1_000_000), "key", "left_semi").select("key", "id"), "meet")
     drop(members, shared)
     ids = meet.select("id").distinct()
-    raw = table.join(small(ids, ids.count(), 1_000_000), "id", "left_semi").select("id", F.encode("line", "UTF-16BE").alias("raw"))
-    # each candidate's shingles are hashed once, all comparisons intersect these sets; in 32 bits, of n shingles n * n / 2**33 coincide
-    every = F.transform(starts(F.col("raw"), k), lambda at: F.hash(F.substring(F.col("raw"), at, F.lit(2 * k))))
-    payload = stored(raw.select("id", F.array_distinct(every).alias("s")), "payload")
+    raw = stored(table.join(small(ids, ids.count(), 1_000_000), "id", "left_semi").select("id", F.encode("line", "UTF-16BE").alias("raw")), "candidates")
+    # sketches spare most pairs the comparison of whole sets
+    sketch, alike = stored(sketches(raw, k), "sketches"), may_be_similar(threshold)
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        some = stored(some.distinct(), "ids")
+        out = stored(shingle_sets(raw.join(small(some, some.count(), 1_000_000), "id", "left_semi"), k), "sets")
+        drop(some)
+        return out
 
     def verify(pairs: DataFrame) -> DataFrame:
-        n = payload.select("id", F.size("s").alias("n"))
-        # sets whose sizes differ more cannot be similar; that spares most pairs their sets
-        near = pairs.join(n.select(F.col("id").alias("a"), F.col("n").alias("m")), "a").join(n.withColumnRenamed("id", "b"), "b").where(F.least("m", "n") >= threshold * F.greatest("m", "n"))
-        near = stored(near.select("a", "b"), "pairs")
-        x, y = payload.select(F.col("id").alias("a"), F.col("s").alias("x")), payload.select(F.col("id").alias("b"), F.col("s").alias("y"))
-        both = near.join(x, "a").join(y, "b").select("a", "b", (F.size("x") + F.size("y")).alias("t"), F.size(F.array_intersect("x", "y")).alias("s"))
-        found = stored(both.where(F.col("s") >= F.lit(threshold) * (F.col("t") - F.col("s"))).select("a", "b"), "similar")
-        drop(near)
+        first, second = sketch.withColumnRenamed("id", "a"), sketch.select(F.col("id").alias("b"), *[F.col(x).alias(x + "2") for x in sketch.columns if x != "id"])
+        close = stored(pairs.join(first, "a").join(second, "b").where(alike).select("a", "b"), "pairs")
+        sets = sets_of(close.select(F.explode(F.array("a", "b")).alias("id")))
+        found = stored(similar(close, sets, threshold), "similar")
+        drop(close, sets)
         return found
 
     def rare_shingles(open_ids: DataFrame) -> DataFrame:
         """Each id's rarest shingles, one more than a similar line may lack."""
-        every = stored(open_ids.join(payload, "id").select("id", "c", F.size("s").alias("n"), F.explode("s").alias("token")), "shingles")
+        sets = sets_of(open_ids.select("id"))
+        every = stored(open_ids.join(sets, "id").select("id", "c", F.size("s").alias("n"), F.explode("s").alias("token")), "shingles")
         # a shingle of one line joins nothing; it still takes its place among the rarest
         often = every.groupBy("token").count().where("count > 1")
         common = every.join(often, "token")
@@ -119,16 +153,16 @@ def line_classes(docs: DataFrame, *, k: int = SHINGLE, threshold: float = THRESH
         placed = common.withColumns({"rank": rank, "held": held}).withColumn("rank", F.col("rank") + F.col("n") - F.col("held"))
         most = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1
         out = stored(placed.where(F.col("rank") <= most).select("id", "c", "token", "rank", "n"), "tokens")
-        drop(every)
+        drop(sets, every)
         return out
 
-    comp = link_buckets(meet, verify, tokens=rare_shingles, threshold=threshold)
+    comp = link_buckets(meet, verify, tokens=rare_shingles, threshold=threshold, sketch=sketch, near=alike)
     linked = stored(table.select("id", "h1", "h2", "first").join(comp, "id"), "linked")
     best = linked.groupBy("component").agg(F.min(F.struct("first", "h1", "h2")).alias("best"))
     near = linked.join(best, "component").select("h1", "h2", F.when((F.col("best.h1") == F.col("h1")) & (F.col("best.h2") == F.col("h2")), F.col("first")).alias("keep"))
     copies = table.where("n > 1").join(linked, "id", "left_anti").select("h1", "h2", F.col("first").alias("keep"))
     out = stored(near.unionByName(copies), "classes")
-    drop(table, meet, payload, linked, comp)
+    drop(table, meet, raw, sketch, linked, comp)
     return out
 
 

@@ -243,6 +243,49 @@ def test_lines_of_the_same_shingles_have_the_same_bands(spark):
     assert got[1] == got[2] and got[3] == got[4] and not got[1] & got[3]
 
 
+def test_sketches_spare_pairs_and_lose_no_similar_line(spark):
+    rng = random.Random(9)
+    lines = []
+    for _ in range(60):
+        base = words(rng, rng.randint(4, 60))
+        lines += [" ".join(edited(rng, base, n)) for n in (0, 1, 3, 12)]
+    df = spark.createDataFrame(list(enumerate(lines)), "id long, line string").selectExpr("id", "encode(line, 'UTF-16BE') raw")
+    sketch = line_dedup.sketches(df, 7)
+    other = sketch.select(*[F.col(c).alias(c + "2") for c in sketch.columns])
+    got = {tuple(r) for r in sketch.join(other, F.expr(f"id < id2 and {line_dedup.may_be_similar(0.8)}")).select("id", "id2").collect()}
+    sets = [line_sets(x) for x in lines]
+    every = [(a, b) for a in range(len(lines)) for b in range(a)]
+    want = {(b, a) for a, b in every if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert want and want <= got and len(got) < 0.1 * len(every)
+
+
+@pytest.mark.parametrize("crowd", [0, 10, 1000])
+def test_buckets_of_many_unlike_lines_are_compared_by_sketches(spark, crowd):
+    """A passage common to all of a bucket's lines made a pair of nearly every two of them; by sketches and by tokens the components are the same."""
+    rng = random.Random(10)
+    passage = words(rng, 30)
+    lines = [" ".join(words(rng, rng.randint(5, 9)) + passage) for _ in range(60)]
+    lines += [x + " more" for x in lines[:20]]
+    table = spark.createDataFrame(list(enumerate(lines)), "id long, line string").selectExpr("id", "encode(line, 'UTF-16BE') raw")
+    sets = line_dedup.shingle_sets(table, 7).localCheckpoint()
+    asked = []
+
+    def verify(pairs):
+        asked.append(pairs.count())
+        return line_dedup.similar(pairs, sets, 0.8)
+
+    def tokens(ids):
+        return ids.join(sets, "id").selectExpr("id", "c", "size(s) n", "posexplode(sort_array(s)) as (p, token)").selectExpr("id", "c", "token", "p + 1 as rank", "n").where("rank <= n - ceil(n * 0.8D - 1e-9) + 1")
+
+    members = spark.createDataFrame([(i % 2, i) for i in range(80)] + [(2, i) for i in range(80)], "key long, id long")
+    got = dict(map(tuple, link_buckets(members, verify, 0, tokens, 0.8, line_dedup.sketches(table, 7), line_dedup.may_be_similar(0.8), crowd).collect()))
+    kinds = [line_sets(x) for x in lines]
+    links = [(a, b) for a in range(80) for b in range(80) if a < b and len(kinds[a] & kinds[b]) >= 0.8 * len(kinds[a] | kinds[b])]
+    assert got == union(links, {x for ab in links for x in ab})
+    if crowd == 1000:
+        assert asked[-1] < 0.25 * 80 * 79 / 2
+
+
 def parts_of(text):
     """(line, start, length, words) of paragraphs: sentences and lines of six words or more, numbered within the document."""
     out, at = [], 0
