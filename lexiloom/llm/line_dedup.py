@@ -23,7 +23,7 @@ from lexiloom.llm.common import drop, link_buckets, small, stored
 
 SHINGLE, THRESHOLD, VALUES, ROWS, PARTITIONS = 7, 0.8, 40, 5, 2
 #: Words of 64 bits in a sketch, a power of two.
-WORDS = 16
+WORDS = 64
 #: NULL doc_ids count as this one.
 LAST = (1 << 63) - 1
 
