@@ -1,7 +1,7 @@
 """Fuzzy line deduplication, DataFrame expressions only.
 
-Lines are compared without outer blanks and in lower case. Equal lines are collapsed first. Then, per distinct
-line: overlapping character shingles, MinHash signatures of 40 values, dealt to bands of 5 in two ways (recall 0.993 at
+Lines are compared without outer blanks and in lower case. Equal lines are collapsed first, by a digest of 128 bits: their
+texts are not shuffled for it, shingles are hashed where a line occurs. Then, per distinct line: overlapping character shingles, MinHash signatures of 40 values, dealt to bands of 5 in two ways (recall 0.993 at
 the threshold, 0.999 at 0.85), exact Jaccard similarity of the shingle sets of lines that share a band, and a distributed
 union-find. Of each component one line stays: that of the smallest doc_id, at its first occurrence there. All other lines of the component are removed from their documents.
 
@@ -24,6 +24,10 @@ from lexiloom.llm.common import drop, link_buckets, small, stored
 SHINGLE, THRESHOLD, VALUES, ROWS, PARTITIONS = 7, 0.8, 40, 5, 2
 #: Words of 64 bits in a sketch, a power of two.
 WORDS = 64
+#: So many shingles' hashes are made in a row when a set is gathered.
+STRIDE = 16
+#: Rows that may be broadcast where they are a digest and an id.
+KEY_ROWS = 1_000_000
 #: NULL doc_ids count as this one.
 LAST = (1 << 63) - 1
 
@@ -39,7 +43,8 @@ def row_key(docs: DataFrame) -> Column:
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, row, pos, line, h1, h2): non-blank normalised lines with a 128-bit digest."""
     out = docs.select("doc_id", row_key(docs).alias("row"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    out = out.select("doc_id", "row", "pos", normal(F.col("raw")).alias("line")).where("line <> ''")
+    # blank before the lower case, which is made once then
+    out = out.where(F.trim("raw") != "").select("doc_id", "row", "pos", normal(F.col("raw")).alias("line"))
     return out.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
@@ -63,26 +68,37 @@ def bands(values: int, rows: int, partitions: int) -> list[list[int]]:
     return [[(b + r * p) % n + r * n for r in range(rows)] for p in range(partitions) for b in range(n)]
 
 
-def distinct_lines(docs: DataFrame) -> DataFrame:
-    """(h1, h2, line, first, n): each different line, its smallest doc_id and how often it occurs."""
-    first = F.min(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).alias("first")
-    return lines_of(docs).groupBy("h1", "h2", "line").agg(first, F.count("*").alias("n"))
-
-
-def signatures(lines: DataFrame, k: int, values: int) -> DataFrame:
-    """(id, m0, m1, ...) of lines (id, line). Shingles are exploded and folded to their bins' minima before the shuffle."""
-    hashes = spread(lines.select("id", F.encode("line", "UTF-16BE").alias("raw")), k)
+def minima(hashes: DataFrame, values: int, by: tuple[str, ...], *also: Column) -> DataFrame:
+    """(by, also, m0, m1, ...) of hashes (by, h): each bin's smallest. Hashes are folded to them before the shuffle."""
     binned = hashes.withColumn("bin", F.expr(f"cast((shiftrightunsigned(h, 32) * {values}L) >> 32 as int)"))
-    mins = binned.groupBy("id").agg(*[F.expr(f"min(h) FILTER (WHERE bin = {j})").alias(f"b{j}") for j in range(values)])
-    held = mins.withColumn("held", F.array_compact(F.array(*[f"b{j}" for j in range(values)])))
+    mins = binned.groupBy(*by).agg(*also, *[F.expr(f"min(h) FILTER (WHERE bin = {j})").alias(f"b{j}") for j in range(values)])
+    bins = [f"b{j}" for j in range(values)]
+    # few lines have an empty bin; only they need the list
+    held = mins.withColumn("held", F.when(F.expr(" or ".join(f"{x} is null" for x in bins)), F.array_compact(F.array(*bins))))
     own = lambda j: F.array_min(F.transform("held", lambda x: F.xxhash64(x, F.lit(j))))
-    return held.select("id", *[F.coalesce(f"b{j}", own(j)).alias(f"m{j}") for j in range(values)])
+    return held.select(*[c for c in mins.columns if c not in bins], *[F.coalesce(f"b{j}", own(j)).alias(f"m{j}") for j in range(values)])
+
+
+def keys_of(values: int, rows: int, partitions: int) -> Column:
+    """The keys of all bands of a signature (m0, m1, ...)."""
+    return F.array(*[F.xxhash64(F.lit(b), *[f"m{v}" for v in vs]) for b, vs in enumerate(bands(values, rows, partitions))])
 
 
 def band_keys(lines: DataFrame, k: int, values: int, rows: int, partitions: int) -> DataFrame:
-    """(id, key): one row per line and band."""
-    keys = [F.xxhash64(F.lit(b), *[f"m{v}" for v in vs]) for b, vs in enumerate(bands(values, rows, partitions))]
-    return signatures(lines, k, values).select("id", F.explode(F.array(*keys)).alias("key"))
+    """(id, key): one row per line (id, line) and band."""
+    hashes = spread(lines.select("id", F.encode("line", "UTF-16BE").alias("raw")), k)
+    return minima(hashes, values, ("id",)).select("id", F.explode(keys_of(values, rows, partitions)).alias("key"))
+
+
+def keyed_lines(docs: DataFrame, k: int, values: int, rows: int, partitions: int) -> DataFrame:
+    """(h1, h2, first, n, keys): each different line, its smallest doc_id, how often it occurs and its bands' keys."""
+    first = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("first")
+    raw = lines_of(docs).select(first, "h1", "h2", F.encode("line", "UTF-16BE").alias("raw"))
+    hashes = raw.select("first", "h1", "h2", "raw", F.explode(starts(F.col("raw"), k)).alias("at"))
+    hashes = hashes.select("first", "h1", "h2", "at", F.xxhash64(F.substring(F.col("raw"), F.col("at"), F.lit(2 * k))).alias("h"))
+    # an occurrence has one shingle at its start
+    once = F.sum(F.expr("if(at = 1, 1L, 0L)")).alias("n")
+    return minima(hashes, values, ("h1", "h2"), F.min("first").alias("first"), once).select("h1", "h2", "first", "n", keys_of(values, rows, partitions).alias("keys"))
 
 
 def sketches(lines: DataFrame, k: int, words: int = WORDS) -> DataFrame:
@@ -95,16 +111,22 @@ def sketches(lines: DataFrame, k: int, words: int = WORDS) -> DataFrame:
 def may_be_similar(threshold: float, words: int = WORDS) -> str:
     """Condition on two sketches that holds for all similar lines.
 
-    Bits that only one has come from as many shingles at least that only one has, of which similar sets have few.
+    Bits that only one has come from as many shingles at least that only one has, of which similar sets have few. Most pairs
+    fail by the first quarter of the words already.
     """
-    differ = " + ".join(f"bit_count(w{j}_ ^ w{j}_2)" for j in range(words))
-    return f"{differ} <= (size + size2) * {(1 - threshold) / (1 + threshold)!r}D + 1e-9"
+    some = lambda n: " + ".join(f"bit_count(w{j}_ ^ w{j}_2)" for j in range(n))
+    most = f"(size + size2) * {(1 - threshold) / (1 + threshold)!r}D + 1e-9"
+    return " and ".join(f"({some(n)}) <= {most}" for n in sorted({-(-words // 4), words}))
 
 
 def shingle_sets(lines: DataFrame, k: int) -> DataFrame:
     """(id, s) of lines (id, raw): the different shingles' hashes in 32 bits; of n shingles n * n / 2**33 coincide."""
-    hashes = spread(lines, k).select("id", F.expr("cast(shiftright(h, 32) as int)").alias("h"))
-    return hashes.groupBy("id").agg(F.collect_list("h").alias("s")).select("id", F.array_distinct("s").alias("s"))
+    last = F.greatest(F.lit(1), F.octet_length("raw") - 2 * k + 1)
+    runs = lines.select("id", "raw", last.alias("last")).select("id", "raw", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(2 * STRIDE))).alias("at"))
+    # the last run repeats the last shingle
+    h = lambda i: F.xxhash64(F.substring(F.col("raw"), F.least(F.col("at") + 2 * i, F.col("last")), F.lit(2 * k)))
+    made = runs.select("id", F.array(*[F.shiftright(h(i), 32).cast("int") for i in range(STRIDE)]).alias("h"))
+    return made.groupBy("id").agg(F.flatten(F.collect_list("h")).alias("s")).select("id", F.array_distinct("s").alias("s"))
 
 
 def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -114,22 +136,26 @@ def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.where(F.col("s") >= F.lit(threshold) * (F.col("t") - F.col("s"))).select("a", "b")
 
 
-def line_classes(docs: DataFrame, *, k: int = SHINGLE, threshold: float = THRESHOLD, values: int = VALUES, rows: int = ROWS, partitions: int = PARTITIONS) -> DataFrame:
-    """(h1, h2, keep): lines with copies or links; keep = the doc_id where one occurrence stays, NULL where none does."""
+def line_classes(docs: DataFrame, *, k: int = SHINGLE, threshold: float = THRESHOLD, values: int = VALUES, rows: int = ROWS, partitions: int = PARTITIONS) -> tuple[DataFrame, DataFrame]:
+    """Lines with copies or links: their places (id, doc_id, row, pos) and (id, keep), the doc_id where one occurrence stays, NULL where none does."""
     # numbers once given are written down, so they stay the same whatever is computed again
-    table = stored(distinct_lines(docs).withColumn("id", F.monotonically_increasing_id()), "lines")
-    members = stored(band_keys(table.select("id", "line"), k, values, rows, partitions), "bands")
+    table = stored(keyed_lines(docs, k, values, rows, partitions).withColumn("id", F.monotonically_increasing_id()), "lines")
+    members = table.select("id", F.explode("keys").alias("key"))
     shared = stored(members.groupBy("key").count().where("count > 1").select("key"), "keys")
-    meet = stored(members.join(small(shared, shared.count(), 1_000_000), "key", "left_semi").select("key", "id"), "meet")
-    drop(members, shared)
-    ids = meet.select("id").distinct()
-    raw = stored(table.join(small(ids, ids.count(), 1_000_000), "id", "left_semi").select("id", F.encode("line", "UTF-16BE").alias("raw")), "candidates")
+    meet = stored(members.join(small(shared, shared.count(), KEY_ROWS), "key", "left_semi").select("key", "id"), "meet")
+    ids = meet.select("id").distinct().withColumn("meets", F.lit(True))
+    marked = table.select("id", "h1", "h2", "first", "n").join(small(ids, ids.count(), KEY_ROWS), "id", "left").withColumn("meets", F.coalesce("meets", F.lit(False)))
+    known = stored(marked.where("meets or n > 1"), "known")
+    drop(table, shared)
+    places = stored(occurrences(docs, known), "places")
+    texts = places.where("line is not null").select("id", "line").distinct()
+    raw = stored(texts.select("id", F.encode("line", "UTF-16BE").alias("raw")), "candidates")
     # sketches spare most pairs the comparison of whole sets
     sketch, alike = stored(sketches(raw, k), "sketches"), may_be_similar(threshold)
 
     def sets_of(some: DataFrame) -> DataFrame:
         some = stored(some.distinct(), "ids")
-        out = stored(shingle_sets(raw.join(small(some, some.count(), 1_000_000), "id", "left_semi"), k), "sets")
+        out = stored(shingle_sets(raw.join(small(some, some.count(), KEY_ROWS), "id", "left_semi"), k), "sets")
         drop(some)
         return out
 
@@ -157,25 +183,35 @@ def line_classes(docs: DataFrame, *, k: int = SHINGLE, threshold: float = THRESH
         return out
 
     comp = link_buckets(meet, verify, tokens=rare_shingles, threshold=threshold, sketch=sketch, near=alike)
-    linked = stored(table.select("id", "h1", "h2", "first").join(comp, "id"), "linked")
+    linked = stored(known.select("id", "h1", "h2", "first").join(comp, "id"), "linked")
     best = linked.groupBy("component").agg(F.min(F.struct("first", "h1", "h2")).alias("best"))
-    near = linked.join(best, "component").select("h1", "h2", F.when((F.col("best.h1") == F.col("h1")) & (F.col("best.h2") == F.col("h2")), F.col("first")).alias("keep"))
-    copies = table.where("n > 1").join(linked, "id", "left_anti").select("h1", "h2", F.col("first").alias("keep"))
-    out = stored(near.unionByName(copies), "classes")
-    drop(table, meet, raw, sketch, linked, comp)
-    return out
+    near = linked.join(best, "component").select("id", F.when((F.col("best.h1") == F.col("h1")) & (F.col("best.h2") == F.col("h2")), F.col("first")).alias("keep"))
+    copies = known.where("n > 1").join(linked, "id", "left_anti").select("id", F.col("first").alias("keep"))
+    classes = stored(near.unionByName(copies), "classes")
+    drop(meet, raw, sketch, linked, comp, known)
+    return places, classes
+
+
+def occurrences(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(id, doc_id, row, pos, line) of known lines (id, h1, h2, meets); line is NULL where no other line is met."""
+    every = lines_of(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "row", "pos", "line", "h1", "h2")
+    digests = known.select("id", F.col("h1").alias("k1"), F.col("h2").alias("k2"), "meets")
+    # a table keyed by one long is small; the second half of the digest is compared behind it
+    both = (F.col("h1") == F.col("k1")) & (F.col("h2").bitwiseXOR(F.col("k2")) == 0)
+    found = every.join(small(digests, digests.count(), KEY_ROWS), both)
+    return found.select("id", "doc_id", "row", "pos", F.when(F.col("meets"), F.col("line")).alias("line"))
 
 
 def removals(docs: DataFrame, **settings) -> DataFrame:
     """(row, removed): positions of removed lines, for documents that lose some."""
-    classes = line_classes(docs, **settings)
-    every = lines_of(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "row", "pos", "h1", "h2")
-    spots = stored(every.join(small(classes, classes.count()), ["h1", "h2"]), "spots")
+    places, classes = line_classes(docs, **settings)
+    spots = stored(places.drop("line").join(small(classes, classes.count()), "id"), "spots")
+    drop(places, classes)
     # of several texts under the kept doc_id one keeps the line; a line's one staying place is an aggregate, so no line's occurrences meet
-    stays = spots.where("keep = doc_id").groupBy("h1", "h2").agg(F.min(F.struct("row", "pos")).alias("at"))
+    stays = spots.where("keep = doc_id").groupBy("id").agg(F.min(F.struct("row", "pos")).alias("at"))
     stays = stays.select(F.col("at.row").alias("row"), F.col("at.pos").alias("pos"))
     out = stored(spots.select("row", "pos").join(stays, ["row", "pos"], "left_anti").groupBy("row").agg(F.collect_set("pos").alias("removed")), "removed")
-    drop(classes, spots)
+    drop(spots)
     return out
 
 

@@ -286,6 +286,25 @@ def test_buckets_of_many_unlike_lines_are_compared_by_sketches(spark, crowd):
         assert asked[-1] < 0.25 * 80 * 79 / 2
 
 
+def test_distinct_lines_are_counted_without_shuffling_their_texts(spark):
+    rows = [(3, "Some line of text\n some line of TEXT \nx"), (2, "x\n\n  "), (None, "zz"), (None, None)]
+    keyed = line_dedup.keyed_lines(spark.createDataFrame(rows, "doc_id long, text string"), 7, 40, 5, 2)
+    assert sorted((r.first, r.n, len(set(r["keys"]))) for r in keyed.collect()) == [(2, 2, 16), (3, 2, 16), (line_dedup.LAST, 1, 16)]
+    plan = keyed._jdf.queryExecution().executedPlan().toString()
+    sent = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x]
+    assert sent and all("h1#" in x and "line#" not in x and "raw#" not in x for x in sent)
+
+
+def test_sets_made_in_runs_are_those_of_every_shingle(spark):
+    lines = ["x" * n for n in (1, 6, 7)] + ["".join(chr(97 + i * i % 23) for i in range(n)) for n in (7, 8, 21, 22, 23, 38, 39, 200)]
+    table = spark.createDataFrame(list(enumerate(lines)), "id long, line string").selectExpr("id", "encode(line, 'UTF-16BE') raw")
+    made = line_dedup.shingle_sets(table, 7)
+    got = {r.id: sorted(r.s) for r in made.collect()}
+    one = line_dedup.spread(table, 7).selectExpr("id", "cast(shiftright(h, 32) as int) h").distinct().groupBy("id").agg(F.sort_array(F.collect_list("h")).alias("s"))
+    assert got == {r.id: r.s for r in one.collect()}
+    assert "flatten" in made._jdf.queryExecution().executedPlan().toString()
+
+
 def parts_of(text):
     """(line, start, length, words) of paragraphs: sentences and lines of six words or more, numbered within the document."""
     out, at = [], 0
