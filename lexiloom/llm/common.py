@@ -8,6 +8,7 @@ recomputation of its tasks and never a failed job.
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -48,18 +49,25 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for some writes, put back afterwards."""
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, value)
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, what: str, *, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives executors.
 
     Shuffle files of the finished write are released at once, since only the table is needed.
     """
-    spark, path, key = df.sparkSession, scratch(df.sparkSession, what), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key)
-    try:
-        spark.conf.set(key, "true")
+    spark, path = df.sparkSession, scratch(df.sparkSession, what)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
         df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
-    finally:
-        spark.conf.set(key, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
@@ -79,6 +87,12 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def sweep(spark: SparkSession) -> None:
+    """Collect the driver's garbage: its broadcast tables and shuffle files of finished steps go only then, and its heap shrinks."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def release() -> None:
     """Give memory that a worker no longer uses back to the system; idle workers count as well."""
     import ctypes
@@ -211,6 +225,7 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], r
         return own.join(other, "token").where(f"c < c2 and {enough}").select("id", "to")
 
     for r in range(1, rounds + 2):
+        sweep(members.sparkSession)
         left = labelled(wide)
         drop(wide)
         wide = left.select("key", "id", "rep")

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import drop, link_buckets, small, stored
+from lexiloom.llm.common import drop, link_buckets, setting, small, stored, sweep
 
 SHINGLE, THRESHOLD, VALUES, ROWS, PARTITIONS = 7, 0.8, 40, 5, 2
 #: Words of 64 bits in a sketch, a power of two.
@@ -102,10 +102,14 @@ def keyed_lines(docs: DataFrame, k: int, values: int, rows: int, partitions: int
 
 
 def sketches(lines: DataFrame, k: int, words: int = WORDS) -> DataFrame:
-    """(id, size, w0_, w1_, ...) of lines (id, raw): the number of shingles, repeats included, and a set of 64 * words bits with one for each."""
+    """(id, size, w) of lines (id, raw): the number of shingles, repeats included, and a set of 64 * words bits with one for each.
+
+    One array, not a column a word: rows of so many columns make plans that the driver has no room for.
+    """
     hashes = spread(lines, k)
     word = lambda j: F.expr(f"bit_or(shiftleft(1L, cast(h & 63 as int))) FILTER (WHERE (shiftrightunsigned(h, 6) & {words - 1}) = {j})")
-    return hashes.groupBy("id").agg(F.count("*").alias("size"), *[F.coalesce(word(j), F.lit(0).cast("long")).alias(f"w{j}_") for j in range(words)])
+    made = hashes.groupBy("id").agg(F.count("*").alias("size"), *[word(j).alias(f"w{j}") for j in range(words)])
+    return made.select("id", "size", F.array(*[F.coalesce(f"w{j}", F.lit(0).cast("long")) for j in range(words)]).alias("w"))
 
 
 def may_be_similar(threshold: float, words: int = WORDS) -> str:
@@ -114,9 +118,10 @@ def may_be_similar(threshold: float, words: int = WORDS) -> str:
     Bits that only one has come from as many shingles at least that only one has, of which similar sets have few. Most pairs
     fail by the first quarter of the words already.
     """
-    some = lambda n: " + ".join(f"bit_count(w{j}_ ^ w{j}_2)" for j in range(n))
+    first = " + ".join(f"bit_count(get(w, {j}) ^ get(w2, {j}))" for j in range(-(-words // 4)))
+    every = "aggregate(zip_with(w, w2, (x, y) -> bit_count(x ^ y)), 0, (a, c) -> a + c)"
     most = f"(size + size2) * {(1 - threshold) / (1 + threshold)!r}D + 1e-9"
-    return " and ".join(f"({some(n)}) <= {most}" for n in sorted({-(-words // 4), words}))
+    return f"({first}) <= {most} and {every} <= {most}"
 
 
 def shingle_sets(lines: DataFrame, k: int) -> DataFrame:
@@ -217,7 +222,11 @@ def removals(docs: DataFrame, **settings) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` with texts less their removed lines, and n_lines and n_removed (long)."""
-    gone = removals(docs, **settings).select(F.col("row").alias("__row"), F.col("removed").alias("__gone"))
+    # stages of many columns become methods too long for the JVM to compile; under this limit Spark runs them in small ones
+    with setting(docs.sparkSession, "spark.sql.codegen.hugeMethodLimit", "8000"):
+        gone = removals(docs, **settings)
+    sweep(docs.sparkSession)
+    gone = gone.select(F.col("row").alias("__row"), F.col("removed").alias("__gone"))
     joined = docs.withColumn("__row", row_key(docs)).join(gone, "__row", "left")
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))

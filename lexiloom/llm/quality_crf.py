@@ -225,7 +225,13 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model:
     got = rows.mapInPandas(features, "doc_id long, quality int, x binary, size binary").collect()
     got.sort(key=lambda r: (r.doc_id, bytes(r.x)))
     made = [(np.frombuffer(r.x, np.float32).reshape(-1, FEATURES), np.frombuffer(r["size"], np.float64)) for r in got]
-    return fit(made, np.array([r.quality for r in got], np.int64))
+    labels_of = np.array([r.quality for r in got], np.int64)
+    del got
+    model = fit(made, labels_of)
+    # the driver keeps no room of the training through later stages
+    del made
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD) -> DataFrame:

@@ -305,6 +305,18 @@ def test_sets_made_in_runs_are_those_of_every_shingle(spark):
     assert "flatten" in made._jdf.queryExecution().executedPlan().toString()
 
 
+def test_sketches_are_one_column_and_settings_are_put_back(spark):
+    """A column for each word made plans and driver memory grow; the settings of the run are put back."""
+    table = spark.createDataFrame([(1, "some line"), (2, "")], "id long, line string").selectExpr("id", "encode(line, 'UTF-16BE') raw")
+    rows = {r.id: r for r in line_dedup.sketches(table, 7).collect()}
+    assert line_dedup.sketches(table, 7).columns == ["id", "size", "w"]
+    assert [len(rows[i].w) for i in (1, 2)] == [line_dedup.WORDS] * 2 and rows[1].size == 3
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key)
+    line_dedup.dedup_lines(spark.createDataFrame([(1, "a\na", "x")], KIND)).collect()
+    assert spark.conf.get(key) == before
+
+
 def parts_of(text):
     """(line, start, length, words) of paragraphs: sentences and lines of six words or more, numbered within the document."""
     out, at = [], 0
