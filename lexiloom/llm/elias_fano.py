@@ -1,9 +1,9 @@
 """Elias-Fano sequences over memory-mapped arrays, and the container files that hold them.
 
-A non-decreasing sequence keeps its low bits (a whole number of bytes) in an array and its high bits in unary
-in a bit vector. A directory of ones every 64 bits makes ``get`` a select of ones and ``find`` (successor
+A non-decreasing sequence keeps its low bits in an array of whole bytes and its high bits in unary
+in a bit vector. Directories of ones and of zeros every 64 bits make ``get`` a select of ones and ``find`` (successor
 search) a select of zeros and a search among the few elements with equal high bits. All
-operations take arrays of queries.
+operations take arrays of queries; a reader makes no array as long as a sequence or its directories, they stay in the mapped file.
 """
 
 from __future__ import annotations
@@ -52,33 +52,37 @@ def encode(values: np.ndarray, name: str) -> dict[str, np.ndarray]:
     values = values.astype(np.uint64)
     n = len(values)
     top = int(values[-1]) if n else 0
-    width = 0
-    while n and width < 7 and top >> (8 * width) > 2 * n:
-        width += 1
-    shift = np.uint64(8 * width)
-    high = (values >> shift).astype(np.int64)
+    shift = 0
+    while n and top >> shift > 2 * n:
+        shift += 1
+    # up to eight bits in unary cost no more than a byte more of each element
+    if n and top >> shift // 8 * 8 <= 8 * n:
+        shift = shift // 8 * 8
+    high = (values >> np.uint64(shift)).astype(np.int64)
     size = n + (int(high[-1]) if n else 0) + 1
     blocks = -(-size // 64) + 1
     bits = np.zeros(blocks * 64, np.uint8)
     bits[high + np.arange(n)] = 1
     upper = np.packbits(bits, bitorder="little").view(np.uint64)
-    ones = np.concatenate([[0], np.cumsum(bits.reshape(-1, 64).sum(1, dtype=np.int64))[:-1]])
-    low = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    return {f"{name}.upper": upper, f"{name}.ones": ones.astype(np.uint32 if n < 1 << 32 else np.uint64), f"{name}.low": np.ascontiguousarray(low), f"{name}.n": np.array([n, size], np.int64)}
+    ones = np.concatenate([[0], np.cumsum(np.bitwise_count(upper), dtype=np.int64)[:-1]])
+    kind = np.uint32 if 64 * blocks < 1 << 32 else np.uint64
+    low = (values & np.uint64((1 << shift) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : -(-shift // 8)]
+    zeros = np.arange(blocks) * 64 - ones
+    return {f"{name}.upper": upper, f"{name}.ones": ones.astype(kind), f"{name}.zeros": zeros.astype(kind), f"{name}.low": np.ascontiguousarray(low), f"{name}.n": np.array([n, size, shift], np.int64)}
 
 
 class EliasFano:
     def __init__(self, arrays: dict[str, np.ndarray], name: str):
-        self.upper, self.ones, low = arrays[f"{name}.upper"], arrays[f"{name}.ones"].astype(np.int64), arrays[f"{name}.low"]
-        self.n, self.size = map(int, arrays[f"{name}.n"])
+        self.upper, self.ones, self.zeros, low = (arrays[f"{name}.{x}"] for x in ("upper", "ones", "zeros", "low"))
+        self.n, self.size, self.shift = map(int, arrays[f"{name}.n"])
         self.width = low.shape[1]
         self.low = low.view({1: "<u1", 2: "<u2", 4: "<u4"}[self.width]).reshape(-1) if self.width in (1, 2, 4) else low
-        self.zeros = np.arange(len(self.ones)) * 64 - self.ones
 
     def _select(self, k: np.ndarray, counts: np.ndarray, invert: bool) -> np.ndarray:
         """Positions of the k-th ones (zeros): the directory gives the word, bytes' prefix sums the byte, a table the bit."""
-        word = np.searchsorted(counts, k, "right") - 1
-        left = (k - counts[word]).astype(np.uint64)
+        # of one type, else the directory is copied
+        word = np.searchsorted(counts, k.astype(counts.dtype), "right") - 1
+        left = (k - counts[word].astype(np.int64)).astype(np.uint64)
         w = self.upper[word]
         w = ~w if invert else w
         x = w - (w >> U1 & M1)
@@ -100,7 +104,7 @@ class EliasFano:
     def get(self, i: np.ndarray) -> np.ndarray:
         """Values at the indexes i."""
         i = i.astype(np.int64)
-        return (self._select(i, self.ones, False) - i << 8 * self.width) | self._low(i) if self.n else np.zeros(len(i), np.int64)
+        return (self._select(i, self.ones, False) - i << self.shift) | self._low(i) if self.n else np.zeros(len(i), np.int64)
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """Index of each value x, or -1. Values that occur are assumed to occur once."""
@@ -109,17 +113,21 @@ class EliasFano:
             return out
         for lo_ in range(0, len(x), CHUNK):
             v = x[lo_ : lo_ + CHUNK].astype(np.int64)
-            high = v >> 8 * self.width
+            high = v >> self.shift
             ok = np.flatnonzero(high <= self.size - self.n - 1)
             high, v = high[ok], v[ok]
             end = self._select(high, self.zeros, True) - high
             start = np.where(high > 0, self._select(np.maximum(high - 1, 0), self.zeros, True) - (high - 1), 0)
-            want, a, b = v & (1 << 8 * self.width) - 1, start, end.copy()
-            while (open_ := np.flatnonzero(a < b)).size:
-                mid = a[open_] + b[open_] >> 1
-                less = self._low(mid) < want[open_]
-                a[open_[less]] = mid[less] + 1
-                b[open_[~less]] = mid[~less]
+            want, a = v & (1 << self.shift) - 1, start.copy()
+            open_ = np.flatnonzero(start < end)
+            x0, x1, ask = start[open_], end[open_], want[open_]
+            while open_.size:
+                mid = x0 + x1 >> 1
+                less = self._low(mid) < ask
+                x0, x1 = np.where(less, mid + 1, x0), np.where(less, x1, mid)
+                more = x0 < x1
+                a[open_] = x0
+                open_, x0, x1, ask = open_[more], x0[more], x1[more], ask[more]
             hit = a < end
             hit[hit] = self._low(a[hit]) == want[hit]
             part = np.full(len(high), -1, np.int64)
@@ -147,7 +155,11 @@ class Level:
 
     def find(self, parent: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index, index relative to the parent's first child) of each child, -1 where there is none."""
-        nodes, at = np.unique(parent, return_inverse=True)
+        if (parent[1:] >= parent[:-1]).all():
+            new = np.append(True, parent[1:] != parent[:-1])[: len(parent)]
+            nodes, at = parent[new], np.cumsum(new) - 1
+        else:
+            nodes, at = np.unique(parent, return_inverse=True)
         begin, end = self.pointers.get(nodes), self.pointers.get(nodes + 1)
         base = np.where(begin > 0, self.keys.get(np.maximum(begin - 1, 0)), 0)
         has = np.flatnonzero((begin < end)[at])

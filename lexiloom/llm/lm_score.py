@@ -25,26 +25,27 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm import elias_fano, shared_files
 from lexiloom.llm.common import LOWER, UPPER, drop, release, stored, tidy
 
-#: White space but the blank.
-BLANKS = "\t\n\x0b\x0c\r"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = str.maketrans(UPPER, LOWER)
 FOLDS, HELD = 7, 2
 STEP = 12 / 65534
 UNKNOWN = 0xFFFFFFFF
 #: Tokens handled at once.
-TOKENS = 500_000
+TOKENS = 1_000_000
+#: Bytes of text that are cut at once.
+BLOCK = 8_000_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -65,16 +66,35 @@ def word_hash(word: str) -> int:
     return xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)
 
 
-def token_hashes(text: Column) -> Column:
-    """XXH64 of every token of a text, the end token last.
+def coded_words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the different tokens, each token's place among them, and the documents' starts (one more than documents)."""
+    from xxhash import xxh64_intdigest
 
-    Texts of ASCII alone need no translation letter by letter, and a split at one blank needs no pattern.
-    """
-    text = F.coalesce(text, F.lit(""))
-    ascii_ = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(" ")), BLANKS, F.lower(text))
-    other = F.translate(text, UPPER + BLANKS, LOWER + " " * len(BLANKS))
-    words = F.array_remove(F.split(F.when(F.octet_length(text) == F.char_length(text), ascii_).otherwise(other), " "), "")
-    return F.concat(F.transform(words, lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(END))))
+    # the ASCII kernels know exactly these letters and blanks, and leave other bytes alone
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(text, "")))
+    offsets, coded = split.offsets.to_numpy().astype(np.int64), split.flatten().dictionary_encode()
+    kinds, codes = coded.dictionary.cast(pa.large_binary()).to_pylist(), coded.indices.to_numpy()
+    hashes = np.array([xxh64_intdigest(w, 42) for w in kinds] + [word_hash(END)], np.uint64)
+    if b"" in kinds:
+        real = codes != kinds.index(b"")
+        offsets, codes = np.concatenate([[0], np.cumsum(real)])[offsets], codes[real]
+    # an end token behind each document's words
+    starts = offsets + np.arange(len(offsets))
+    at = np.full(starts[-1], len(kinds), np.int32)
+    inner = np.ones(len(at), bool)
+    inner[starts[1:] - 1] = False
+    at[inner] = codes
+    return hashes, at, starts
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of about BLOCK bytes of text."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(), dtype=np.int64)
+        cuts = np.unique(np.searchsorted(size, np.arange(BLOCK, size[-1] if len(size) else 0, BLOCK)) + 1)
+        for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows]):
+            if lo < hi:
+                yield batch.slice(lo, hi - lo)
 
 
 def quantised(p: np.ndarray) -> np.ndarray:
@@ -251,16 +271,29 @@ def reader_of(trie: Trie) -> Reader:
 
 
 def _vocabulary(docs: DataFrame, folder: str, bits: int) -> tuple[list, int]:
+    def part_of(hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - bits) if bits else np.zeros(len(hashes))).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in _texts(batches):
+            hashes, at, _ = coded_words(batch.column("text"))
+            n = np.bincount(at, minlength=len(hashes))
+            held.append(summed(hashes[n > 0], n[n > 0]))
+            size += len(held[-1][0])
+            if size > 3 * TOKENS:
+                yield pa.RecordBatch.from_pandas(_blocks(held, part_of), preserve_index=False)
+                held, size = [], 0
+        if size:
+            yield pa.RecordBatch.from_pandas(_blocks(held, part_of), preserve_index=False)
+
     def write(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        h = part["hash"].to_numpy().view(np.uint64)
-        order = np.argsort(h)
-        n = part["n"].to_numpy()[order]
-        elias_fano.save(f"{folder}/words-{key[0]:05d}", {"hash": h[order], "count": n})
+        h, n = merged(part["block"].tolist())
+        elias_fano.save(f"{folder}/words-{key[0]:05d}", {"hash": h, "count": n})
         return pd.DataFrame({"part": [key[0]], "words": [len(n)], "tokens": [n.sum()], "n1": [(n == 1).sum()], "n2": [(n == 2).sum()]})
 
-    words = docs.select(F.explode(token_hashes(F.col("text"))).alias("hash")).groupBy("hash").agg(F.count("*").alias("n"))
-    part = F.shiftrightunsigned("hash", 64 - bits).cast("int") if bits else F.lit(0)
-    rows = words.withColumn("part", part).groupBy("part").applyInPandas(write, "part int, words long, tokens long, n1 long, n2 long").collect()
+    counted = docs.select("text").mapInArrow(tidy(count), "shard int, block binary")
+    rows = counted.groupBy("shard").applyInPandas(write, "part int, words long, tokens long, n1 long, n2 long").collect()
     return sorted(rows), bits
 
 
@@ -269,22 +302,16 @@ def _encoded(docs: DataFrame, trie: Trie, bits: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = reader_of(trie)
-        for batch in batches:
-            offsets = batch.column("tokens").offsets.to_numpy().astype(np.int64)
-            # rows of about TOKENS tokens at once
-            cuts = np.unique(np.append(np.searchsorted(offsets, np.arange(offsets[0], offsets[-1], TOKENS), "left"), batch.num_rows))
-            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                part = batch.slice(lo, hi - lo)
-                coded = part.column("tokens").flatten().dictionary_encode()
-                ids, c = reader.known(coded.dictionary.to_numpy().view(np.uint64), bits)
-                at, starts = coded.indices.to_numpy(), offsets[lo : hi + 1] - offsets[lo]
-                base = np.log10((c + 1) / (trie.tokens + trie.words + 1))
-                raw = pa.py_buffer(ids.astype("<u4")[at].tobytes())
-                binary = pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((starts * 4).astype(np.int32).tobytes()), raw])
-                columns = [part.column("doc_id"), part.column("held_out"), binary, np.diff(starts), np.add.reduceat((c > 0)[at], starts[:-1], dtype=np.int64), np.add.reduceat(base[at], starts[:-1])]
-                yield pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in columns], ["doc_id", "held_out", "ids", "n_tokens", "n_known", "base_score"])
-
-    return docs.select("doc_id", "held_out", token_hashes(F.col("text")).alias("tokens")).mapInArrow(tidy(run), "doc_id long, held_out boolean, ids binary, n_tokens long, n_known long, base_score double")
+        for part in _texts(batches):
+            hashes, at, starts = coded_words(part.column("text"))
+            ids, c = reader.known(hashes, bits)
+            base = np.log10((c + 1) / (trie.tokens + trie.words + 1))
+            raw = pa.py_buffer(ids.astype("<u4")[at].tobytes())
+            binary = pa.BinaryArray.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((starts * 4).astype(np.int32).tobytes()), raw])
+            columns = [part.column("doc_id"), part.column("held_out"), binary, np.diff(starts), np.add.reduceat((c > 0)[at], starts[:-1], dtype=np.int64), np.add.reduceat(base[at], starts[:-1])]
+            yield pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in columns], ["doc_id", "held_out", "ids", "n_tokens", "n_known", "base_score"])
+
+    return docs.select("doc_id", "held_out", "text").mapInArrow(tidy(run), "doc_id long, held_out boolean, ids binary, n_tokens long, n_known long, base_score double")
 
 
 def _slabs(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
@@ -316,7 +343,7 @@ def _counted(tokens: DataFrame, trie: Trie, keys_of, shard_of) -> DataFrame:
         for _, ids, first, _ in _slabs(batches, ["n_tokens"]):
             held.append(summed(keys_of(reader, ids, first)))
             size += len(held[-1][0])
-            if size > 6 * TOKENS:
+            if size > 3 * TOKENS:
                 yield _blocks(held, lambda k: shard_of(reader, k))
                 held, size = [], 0
         if size:
@@ -369,7 +396,8 @@ def _triples(reader: Reader, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, folder: str, shards: int) -> tuple[Trie, DataFrame]:
     """Build the trie from ``docs`` (doc_id, text, held_out) and return it with the encoded documents."""
-    bits = max(0, min(12, (shards - 1).bit_length()))
+    # a slab of tokens asks every shard, so there are no more of them than asked for
+    bits = max(0, min(12, shards.bit_length() - 1))
     shards = 1 << bits
     rows, bits = _vocabulary(docs.where("not held_out"), folder, bits)
     parts, base = [], 0
@@ -395,7 +423,7 @@ def train(docs: DataFrame, folder: str, shards: int) -> tuple[Trie, DataFrame]:
         total = np.maximum(1, reader.counts(np.arange(lo, hi)))
         ratio = (c - d2) / total[v - lo]
         kept = np.bincount(v - lo, ratio, hi - lo)
-        elias_fano.save(f"{folder}/bigrams-{shard:05d}", elias_fano.Level.encode(v - lo, w, hi - lo) | {"ratio": quantised(ratio), "rest": quantised(np.maximum(0, 1 - kept)), "count": c.astype(np.uint64)})
+        elias_fano.save(f"{folder}/bigrams-{shard:05d}", elias_fano.Level.encode(v - lo, w, hi - lo) | {"ratio": quantised(ratio), "rest": quantised(np.maximum(0, 1 - kept)), "count": c.astype(np.uint32 if c.max(initial=0) < 1 << 32 else np.uint64)})
         return len(keys)
 
     _built(counts, trie, bigrams)

@@ -41,7 +41,8 @@ def mapped(uri: str, dtype) -> np.ndarray:
     """The file as a read-only memory-mapped array."""
     store, path = _open(uri)
     if isinstance(store, fs.LocalFileSystem):
-        return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.empty(0, dtype)
+        # as a plain array: every slice and index of the subclass runs Python code
+        return np.asarray(np.memmap(path, dtype=dtype, mode="r")) if os.path.getsize(path) else np.empty(0, dtype)
     with tempfile.TemporaryFile() as copy:
         with store.open_input_stream(path) as src:
             shutil.copyfileobj(src, copy, 1 << 20)

@@ -12,6 +12,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -78,6 +79,33 @@ def test_elias_fano(n, top):
     assert ef.find(ask).tolist() == [place.get(x, -1) for x in ask.tolist()]
 
 
+@pytest.mark.parametrize("gap", [1, 300, 70_000, 2**20])
+def test_elias_fano_reads_in_place(gap, tmp_path):
+    v = np.cumsum(np.random.default_rng(gap).integers(1, 2 * gap, 20_000))
+    elias_fano.save(str(tmp_path / "x"), elias_fano.encode(v, "x"))
+    arrays = elias_fano.load(str(tmp_path / "x"))
+    ef = elias_fano.EliasFano(arrays, "x")
+    # no directory is copied, and slices of a mapped file are plain arrays
+    assert all(type(x) is np.ndarray for x in arrays.values())
+    assert all(any(np.shares_memory(x, y) for y in arrays.values()) for x in vars(ef).values() if isinstance(x, np.ndarray) and x.size)
+    # elements with equal high bits are few
+    assert np.bincount(v >> ef.shift).max() <= 64
+    assert (ef.get(np.arange(len(v))) == v).all() and (ef.find(v) == np.arange(len(v))).all() and (ef.find(np.setdiff1d(v + 1, v)) == -1).all()
+
+
+def test_coded_words(odd):
+    texts = [r[1] for r in odd[1]] + ["".join(map(chr, range(256))), "  A\x1cB\x85 \t\x0b É\u2028É ", "\x00 a\x00", "İK"]
+    hashes, at, starts = lm_score.coded_words(pa.array([None, *texts, "x"]).slice(1, len(texts)))
+    assert [hashes[at[a:b]].tolist() for a, b in zip(starts, starts[1:])] == [[lm_score.word_hash(w) for w in [*lm_score.words_of(t), lm_score.END]] for t in texts]
+    assert sum(b.num_rows for b in lm_score._texts(iter([pa.record_batch({"text": pa.array(["x" * 3_000_000, None, "y" * 9_000_000, "z"])})]))) == 4
+
+
+def test_lm_has_no_more_shards_than_asked_for(spark, odd):
+    folder = scratch(spark, "trie")
+    trie, _ = lm_score.train(odd[0].select("doc_id", "text", F.lit(False).alias("held_out")), folder, 6)
+    assert trie.shards == 4 and len(list(Path(folder.removeprefix("file://")).glob("trigrams-?????"))) == 4
+
+
 def test_counts_above_32_bits_survive():
     keys = np.array([3, 9], np.uint64)
     k, c = lm_score.merged([lm_score.packed(keys, np.array([2**32 + 7, 1])), lm_score.packed(keys[:1], np.array([1]))])
