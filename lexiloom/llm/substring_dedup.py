@@ -32,6 +32,8 @@ SHINGLE, THRESHOLD, BANDS, ROWS, MIN_WORDS, WIDE_WORDS, UNIT = 5, 0.8, 8, 2, 20,
 OUTSIDE = re.compile(r"[\W_]+")
 #: NULL doc_ids count as this one.
 LAST = (1 << 63) - 1
+#: Rows that may be broadcast where they are a key and a place.
+KEY_ROWS = 1_000_000
 #: Characters of text that are cut at once.
 BLOCK = 8_000_000
 #: Fixed odd multipliers of the mixing steps.
@@ -208,17 +210,22 @@ def repeated_paragraphs(docs: DataFrame, *, k: int = SHINGLE, threshold: float =
     """
     table = stored(paragraphs(docs, k=k, bands=bands, rows=rows, unit=unit), "paragraphs")
     keys = [f"k{b}" for b in range(bands)]
-    distinct = stored(table.groupBy("h1", "h2").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in keys]), "distinct")
-    members = distinct.select("h1", "h2", F.explode(F.array(*keys)).alias("key"))
-    shared = stored(members.groupBy("key").count().where("count > 1").select("key"), "keys")
-    meet = stored(members.join(small(shared, shared.count(), 1_000_000), "key", "left_semi"), "meet")
+    # a place where the words stand, for their text: all of one occurrence, as the three are updated and merged together
+    place = [F.first(c).alias(c) for c in ("row", "start", "n_chars")]
     # numbers once given are written down, so they stay the same whatever is computed again
-    ids = stored(meet.select("h1", "h2").distinct().withColumn("id", F.monotonically_increasing_id()), "ids")
-    # the texts of candidates, each from one of its occurrences
-    spot = table.join(ids, ["h1", "h2"]).groupBy("id").agg(F.min(F.struct("row", "start", "n_chars")).alias("at")).select("id", "at.*")
+    numbered = table.groupBy("h1", "h2").agg(F.count("*").alias("n"), *place, *[F.min(c).alias(c) for c in keys]).withColumn("id", F.monotonically_increasing_id())
+    distinct = stored(numbered, "distinct")
+    members = distinct.select("id", F.explode(F.array(*keys)).alias("key"))
+    shared = stored(members.groupBy("key").count().where("count > 1").select("key"), "keys")
+    meet = stored(members.join(small(shared, shared.count(), KEY_ROWS), "key", "left_semi").select("key", "id"), "meet")
+    drop(shared)
+    met = meet.select("id").distinct()
+    ids = stored(distinct.select("id", "h1", "h2", "row", "start", "n_chars").join(small(met, met.count(), KEY_ROWS), "id", "left_semi"), "ids")
+    # the texts of candidates, each from one of its occurrences; whole texts are shuffled only where the places are many
     lines = docs.select(row_key().alias("row"), "text")
-    payload = stored(spot.join(lines, "row").select("id", F.substring("text", F.col("start") + 1, F.col("n_chars")).alias("part")).dropDuplicates(["id"]), "payload")
-    comp = link_buckets(meet.join(ids, ["h1", "h2"]).select("key", "id"), lambda pairs: similar(pairs, payload, k, threshold), tokens=lambda ids: rare_shingles(ids, payload, k, threshold), threshold=threshold)
+    parts = lines.join(small(ids.select("id", "row", "start", "n_chars"), ids.count(), KEY_ROWS), "row")
+    payload = stored(parts.select("id", F.substring("text", F.col("start") + 1, F.col("n_chars")).alias("part")).dropDuplicates(["id"]), "payload")
+    comp = link_buckets(meet, lambda pairs: similar(pairs, payload, k, threshold), tokens=lambda ids: rare_shingles(ids, payload, k, threshold), threshold=threshold)
     digest = F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0"))
     near = ids.join(comp, "id").join(ids.select(F.col("id").alias("component"), digest.alias("name")), "component").select("h1", "h2", F.col("name").alias("component"))
     alone = distinct.where("n > 1").select("h1", "h2", digest.alias("component")).join(near, ["h1", "h2"], "left_anti")
@@ -234,7 +241,7 @@ def repeated_paragraphs(docs: DataFrame, *, k: int = SHINGLE, threshold: float =
     # a very frequent passage is one component: broadcast where counted small, its occurrences stay where they are
     best = stored(best.select("component", "best"), "best")
     best = small(best, best.count())
-    drop(table, distinct, shared, meet, ids, payload, classes)
+    drop(table, distinct, meet, ids, payload, classes)
     keep = (F.col("best.row") == F.col("row")) & (F.col("best.start") == F.col("start"))
     back = lambda c: F.nullif(F.col(c), F.lit(LAST))
     return spots.join(best, "component").select(back("doc_id").alias("doc_id"), "row", "pos", "start", "n_chars", "n_words", "component", back("best.doc_id").alias("keep_doc"), keep.alias("keep"))

@@ -394,6 +394,23 @@ def test_passages_over_several_lines(spark):
     assert got == {0: 5, 1: 5, 2: 5}
 
 
+def test_texts_stay_in_place_for_few_candidates(spark, monkeypatch):
+    rng = random.Random(5)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    same = words(30)
+    docs = spark.createDataFrame([(i, f"{words(12)}.\n{same if i % 2 else same.rsplit(' ', 1)[0]}.", "en") for i in range(8)], KIND)
+    plans, stored = {}, substring_dedup.stored
+    monkeypatch.setattr(substring_dedup, "stored", lambda df, what: plans.setdefault(what, df._jdf.queryExecution().sparkPlan().toString()) and stored(df, what))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = substring_dedup.repeated_paragraphs(docs).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(got) == 8 and len({r.component for r in got}) == 1 and [r.doc_id for r in got if r.keep] == [0]
+    assert all("BroadcastHashJoin" in plans[x] and "SortMergeJoin" not in plans[x] for x in ("ids", "payload"))
+
+
 def test_bands_of_passages_have_high_recall():
     recall = lambda s: 1 - (1 - s**substring_dedup.ROWS) ** substring_dedup.BANDS
     assert recall(substring_dedup.THRESHOLD) >= 0.999
