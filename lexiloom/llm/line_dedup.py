@@ -141,12 +141,21 @@ def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.where(F.col("s") >= F.lit(threshold) * (F.col("t") - F.col("s"))).select("a", "b")
 
 
+def shared_keys(members: DataFrame) -> DataFrame:
+    """(key): those of several members (key, id).
+
+    Nearly every key is of one line, so a small map before the large one is soon full and only costs a look more for each row.
+    """
+    with setting(members.sparkSession, "spark.sql.codegen.aggregate.map.twolevel.enabled", "false"):
+        return stored(members.groupBy("key").count().where("count > 1").select("key"), "keys")
+
+
 def line_classes(docs: DataFrame, *, k: int = SHINGLE, threshold: float = THRESHOLD, values: int = VALUES, rows: int = ROWS, partitions: int = PARTITIONS) -> tuple[DataFrame, DataFrame]:
     """Lines with copies or links: their places (id, doc_id, row, pos) and (id, keep), the doc_id where one occurrence stays, NULL where none does."""
     # numbers once given are written down, so they stay the same whatever is computed again
     table = stored(keyed_lines(docs, k, values, rows, partitions).withColumn("id", F.monotonically_increasing_id()), "lines")
     members = table.select("id", F.explode("keys").alias("key"))
-    shared = stored(members.groupBy("key").count().where("count > 1").select("key"), "keys")
+    shared = shared_keys(members)
     meet = stored(members.join(small(shared, shared.count(), KEY_ROWS), "key", "left_semi").select("key", "id"), "meet")
     ids = meet.select("id").distinct().withColumn("meets", F.lit(True))
     marked = table.select("id", "h1", "h2", "first", "n").join(small(ids, ids.count(), KEY_ROWS), "id", "left").withColumn("meets", F.coalesce("meets", F.lit(False)))

@@ -317,6 +317,15 @@ def test_sketches_are_one_column_and_settings_are_put_back(spark):
     assert spark.conf.get(key) == before
 
 
+def test_shared_keys_are_counted_in_one_map_and_the_setting_is_put_back(spark, monkeypatch):
+    key, seen = "spark.sql.codegen.aggregate.map.twolevel.enabled", []
+    write, before = line_dedup.stored, spark.conf.get(key)
+    monkeypatch.setattr(line_dedup, "stored", lambda df, what: seen.append((what, spark.conf.get(key))) or write(df, what))
+    members = spark.createDataFrame([(1, 1), (2, 1), (1, 2), (3, 2), (None, 3), (-1, 3), (-1, 4), (-1, 5)], "key long, id long")
+    assert sorted(r.key for r in line_dedup.shared_keys(members).collect()) == [-1, 1]
+    assert seen == [("keys", "false")] and spark.conf.get(key) == before
+
+
 def parts_of(text):
     """(line, start, length, words) of paragraphs: sentences and lines of six words or more, numbered within the document."""
     out, at = [], 0
