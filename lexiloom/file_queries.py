@@ -237,8 +237,8 @@ def any_detection(spark, d):
 @query("SELECT count(*) AS n_docs, count(DISTINCT (doc_id, text)) AS n_ids, count(*) AS n_formed FROM documents")
 def row_id(spark, d):
     """As many ids as different rows."""
-    made = merge.row_id(["doc_id", "text"], "reddit")
-    return docs(spark, d).agg(F.count("*").alias("n_docs"), F.countDistinct(made).alias("n_ids"), F.count_if(made.rlike("^id_reddit_[0-9]{12}$")).alias("n_formed"))
+    made = merge.add_ids(docs(spark, d), ["doc_id", "text"], "reddit")
+    return made.agg(F.count("*").alias("n_docs"), F.countDistinct("id").alias("n_ids"), F.count_if(F.col("id").rlike("^id_reddit_[0-9]{12}$")).alias("n_formed"))
 
 
 _share = lambda k: "len(list_filter(w, lambda x: x IN (" + ", ".join(f"'{x}'" for x in FUNCTION_WORDS[k].split()) + "))) / greatest(1, len(w))::DOUBLE"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import to_bool, to_datetime, to_number
@@ -27,6 +27,8 @@ CORPORA = (
     (r"(^|/)ai(_gen)?(/|$)", "Unknown", "ai"),
     (r"", "Unknown", "unknown"),
 )
+#: Ids have twelve digits. Hashes take numbers below SPARE; those above are dealt in slots to rows whose hash is another row's.
+DIGITS, SPARE, SLOT = 12, 990_000_000_000, 1_000_000
 
 
 def kind_of(column: str) -> str:
@@ -80,10 +82,27 @@ def corpus(path: Column) -> tuple[Column, Column, Column]:
     return F.regexp_extract(clean, r"((?:[^/]+/){0,2}[^/]+)$", 1), kind, group
 
 
-def row_id(columns: list[str], group: str | Column, prefix: str = "id") -> Column:
-    """Prefix, group and twelve digits of a hash of the row; the same row always gets the same id."""
-    n = F.pmod(F.xxhash64(*columns), F.lit(10**12))
-    return F.concat(F.lit(f"{prefix}_"), F.lit(group), F.lit("_"), F.lpad(n.cast("string"), 12, "0"))
+def add_ids(df: DataFrame, columns: list[str], group: str | Column, prefix: str = "id") -> DataFrame:
+    """With ``id``: prefix, group and twelve digits. Equal rows have the same id, different rows of a group have different ids.
+
+    The digits are a hash of the row. Where different rows share them, one keeps them and the others get numbers from ``SPARE`` on, which no hash
+    takes; which ones depends on the rows that are there. Rows are told apart by 128 bits of hashes.
+    """
+    # a NULL leaves xxhash64 as it is, so a value that moves to another column would not show
+    values = [x for c in columns for x in (F.col(c), F.isnull(F.col(c)))]
+    df = df.withColumns({"_id_group": F.lit(group), "_id_a": F.xxhash64(*values), "_id_b": F.xxhash64(F.lit(1), *values)})
+    number = F.pmod("_id_a", F.lit(SPARE))
+    same = Window.partitionBy("_id_group", "_id_n").orderBy("_id_a", "_id_b")
+    rows = df.select("_id_group", number.alias("_id_n"), "_id_a", "_id_b").repartition("_id_n").dropDuplicates()
+    later = rows.withColumn("_id_k", F.row_number().over(same)).where("_id_k > 1").withColumn("_id_slot", F.pmod(F.xxhash64("_id_b", "_id_a"), F.lit((10**DIGITS - SPARE) // SLOT)))
+    # numbered within slots, so no task sees all of them
+    at = F.row_number().over(Window.partitionBy("_id_group", "_id_slot").orderBy("_id_a", "_id_b")) - 1
+    at = F.when(at < SLOT, at).otherwise(F.raise_error(F.lit("too many rows for ids of twelve digits")))
+    moved = later.select("_id_group", "_id_a", "_id_b", (SPARE + F.col("_id_slot") * SLOT + at).alias("_id_moved"))
+    # of n rows about n * n / (2 * SPARE): 5,000 of 100 million
+    df = df.join(F.broadcast(moved), ["_id_group", "_id_a", "_id_b"], "left")
+    digits = F.lpad(F.coalesce("_id_moved", number).cast("string"), DIGITS, "0")
+    return df.withColumn("id", F.concat(F.lit(f"{prefix}_"), "_id_group", F.lit("_"), digits)).drop("_id_group", "_id_a", "_id_b", "_id_moved")
 
 
 def common_columns(headers: list[list[str]]) -> list[str]:
@@ -103,9 +122,9 @@ def merge(inputs: dict[str, DataFrame], prefix: str = "id") -> DataFrame:
         df = coerce(df.withColumns({c: F.lit(None).cast("string") for c in absent}), columns)
         count = F.when(group == "books", to_number(F.col("match_count"), "bigint")).otherwise(F.lit(1).cast("bigint")) if "match_count" in df.columns else F.lit(1).cast("bigint")
         df = df.withColumns({"MatchCount": count, "Dataset": label, "Dataset Type": kind})
-        df = df.select(*columns, "Year", "Month", "MatchCount", "Dataset", "Dataset Type")
-        out.append(df.withColumn("id", row_id([f"`{c}`" for c in df.columns], group, prefix)))
-    return union_by_name(out)
+        out.append(df.select(*columns, "Year", "Month", "MatchCount", "Dataset", "Dataset Type", group.alias("_group")))
+    rows = union_by_name(out)
+    return add_ids(rows, [f"`{c}`" for c in rows.columns if c != "_group"], F.col("_group"), prefix).drop("_group")
 
 
 def fill_union(frames: list[DataFrame]) -> DataFrame:

@@ -281,3 +281,19 @@ def test_enrich_takes_the_same_row_of_repeated_users(spark):
         got = demographics.enrich(posts, users.repartition(part), year=F.lit(2020), keep_unknown_age=True)
         rows = sorted((r.Author, r.DMGAgeAtPost, r.DMGRawExtractedCity) for r in got.collect())
         assert rows == [("a", 40, "y"), ("b", None, "q")]
+
+
+def test_ids_of_different_rows_differ(spark, tmp_path):
+    from lexiloom.queries import QUERIES
+
+    # rows whose hashes share their last twelve digits, as ids were before, and rows that share them now
+    rows = [(i, "t") for i in (28554, 1720288, 65488, 3538420, 1, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    assert tuple(QUERIES["row_id"](spark, str(tmp_path)).first()) == (6, 5, 6)
+    # a NULL in another column makes another row
+    nulls = spark.createDataFrame([("a", None), (None, "a"), (None, None)], "x string, y string")
+    assert merge.add_ids(nulls, ["x", "y"], "g").select("id").distinct().count() == 3
+    ids = merge.add_ids(df, ["doc_id", "text"], F.when(F.col("doc_id") > 1, "g"), "row").select("doc_id", "id").distinct().collect()
+    assert len(ids) == 5 and all((r.id is None) == (r.doc_id == 1) for r in ids)
+    assert [r.id for r in ids if r.id and r.id.startswith("row_g_99")]
