@@ -132,7 +132,7 @@ def tsv_escaped(spark, d):
     path = folder(spark, "escaped")
     cleaned = F.translate(clean_newlines(F.col("text")), "\t\\", " /").alias("cleaned")
     sinks.escaped_tsv(docs(spark, d).select("doc_id", cleaned), path)
-    return spark.read.options(sep="\t", header="true", quote="", escape="\\").csv(path)
+    return readers.escaped_table(spark, path)
 
 
 @query("SELECT year(ts)::INTEGER AS Year, month(ts)::INTEGER AS Month, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

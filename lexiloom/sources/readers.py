@@ -75,6 +75,20 @@ def table(spark: SparkSession, path: str, *, encoding: str = "UTF-8", columns: t
     return df.select(*columns) if columns else df
 
 
+def escaped_table(spark: SparkSession, path: str) -> DataFrame:
+    """What ``sinks.escaped_tsv`` wrote, every column as text."""
+    df = spark.read.options(sep="\t", header="true", quote="", escape="\\").csv(path)
+
+    def text(name: str) -> Column:
+        c = F.coalesce(F.col(f"`{name}`"), F.lit(""))
+        out = F.replace(c, F.lit("\\\\"), F.lit("\n"))  # no field holds a line break
+        for mark, value in (("\\0", "\0"), ("\\&", ""), ("\n", "\\")):
+            out = F.replace(out, F.lit(mark), F.lit(value))
+        return F.when(c != "\\N", out).alias(name)
+
+    return df.select(*[text(c) for c in df.columns])
+
+
 def header(spark: SparkSession, path: str) -> list[str]:
     return table(spark, path).columns
 

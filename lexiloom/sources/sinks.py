@@ -35,11 +35,21 @@ def raw_lines(df: DataFrame) -> int:
 
 
 def escaped_tsv(df: DataFrame, path: str, columns: tuple[str, ...] | None = None) -> None:
-    """Tab-separated without quotes, escaped by backslashes; raw line breaks and tabs raise ``ValueError``."""
+    r"""Tab-separated without quotes, escaped by backslashes; raw line breaks and tabs raise ``ValueError``.
+
+    A backslash is ``\\``, U+0000 is ``\0``, NULL is ``\N``, an empty text is an empty field; ``readers.escaped_table`` reads all of it back.
+    """
     out = flat(df, columns)
     if n := raw_lines(out):
         raise ValueError(f"{n} rows hold raw line breaks or tabs")
-    out.write.mode("overwrite").options(sep="\t", header="true", quote="", escape="\\").csv(path)
+    # Spark's reader takes U+0000 as its quote
+    texts = {c: F.replace(F.replace(F.col(f"`{c}`"), F.lit("\\"), F.lit("\\\\")), F.lit("\0"), F.lit("\\0")) for c, kind in out.dtypes if kind == "string"}
+    first = out.columns[0]
+    if first in texts:  # a blank line would not be read, and Spark's writer quotes lines that begin with #
+        plain = texts[first].rlike(r"[^\x00-\x20]") & texts[first].rlike(r"\A[^#]")
+        texts[first] = F.when(plain, texts[first]).otherwise(F.concat(F.lit("\\&"), texts[first]))
+    options = {"sep": "\t", "header": "true", "quote": "", "escape": "\\", "emptyValue": "", "nullValue": "\\N", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    out.select(*[texts.get(c, F.col(f"`{c}`")).alias(c) for c in out.columns]).write.mode("overwrite").options(**options).csv(path)
 
 
 def parquet(df: DataFrame, path: str, by_month: bool = False) -> None:

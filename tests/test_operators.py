@@ -297,3 +297,18 @@ def test_ids_of_different_rows_differ(spark, tmp_path):
     ids = merge.add_ids(df, ["doc_id", "text"], F.when(F.col("doc_id") > 1, "g"), "row").select("doc_id", "id").distinct().collect()
     assert len(ids) == 5 and all((r.id is None) == (r.doc_id == 1) for r in ids)
     assert [r.id for r in ids if r.id and r.id.startswith("row_g_99")]
+
+
+def test_escaped_files_keep_every_text(spark, tmp_path):
+    from lexiloom.queries import QUERIES
+
+    texts = ["", " ", "\x00", "a\x00b", "\x01a\x01", "\x1b", '"', '""', "#", "a\\", "\\N", "\\0", "\\\\0", "\\&", "\\\x00", " a ", None, "x" * 200_000]
+    rows = [(t, i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "a string, i int, b string")
+    for columns, want in ((("a", "i", "b"), [(t, str(i), t) for t, i, _ in rows]), (("a", "b"), [(t, t) for t in texts]), (("a",), [(t,) for t in texts])):
+        sinks.escaped_tsv(df.repartition(3), str(tmp_path / "o"), columns)
+        got = readers.escaped_table(spark, str(tmp_path / "o"))
+        assert got.columns == list(columns)
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    spark.createDataFrame([(1, ""), (2, " \n "), (3, "\x01a\x00"), (4, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(map(tuple, QUERIES["tsv_escaped"](spark, str(tmp_path)).collect())) == [("1", ""), ("2", ""), ("3", "\x01a\x00"), ("4", None)]
