@@ -136,8 +136,11 @@ def ngram_topk(spark, d):
 @query(f"WITH {GRAM_SQL}, top AS (SELECT ngram, sum(match_count) AS n FROM gram GROUP BY 1 ORDER BY n DESC, ngram DESC LIMIT 500) SELECT ngram, count(*) AS n_rows, sum(match_count)::BIGINT AS matches FROM gram WHERE ngram IN (SELECT ngram FROM top) GROUP BY 1")
 def ngram_semijoin(spark, d):
     rows = ngrams.clean(ngrams.parse(ngram_lines(spark, d)))
-    kept = ngrams.keep_top(rows, ngrams.top(ngrams.counts(rows), 500))
-    return kept.groupBy("ngram").agg(F.count("*").alias("n_rows"), F.sum("match_count").alias("matches"))
+    sums = rows.groupBy("ngram_cleaned").agg(F.count("*").alias("n_rows"), F.sum("match_count").alias("matches"))
+    # both sides of the semi-join read one shuffle of the sums; without the exploded struct the planner would move the join below them and read the lines again
+    made = sums.select(F.inline(F.array(F.struct(*sums.columns))))
+    best = made.where("matches > 0 and n_rows > 0").select(F.col("ngram_cleaned").alias("ngram"), F.col("matches").alias("match_count"))
+    return ngrams.keep_top(made, ngrams.top(best, 500)).select("ngram", "n_rows", "matches")
 
 
 @query(r"SELECT doc_id, array_to_string(list_transform(list_filter(string_split(regexp_replace(text, '[\s\x1c-\x1f]+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: w), ' ') AS stripped FROM documents WHERE text NOT LIKE '%\_%' ESCAPE '\'")

@@ -312,3 +312,11 @@ def test_escaped_files_keep_every_text(spark, tmp_path):
         assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
     spark.createDataFrame([(1, ""), (2, " \n "), (3, "\x01a\x00"), (4, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert sorted(map(tuple, QUERIES["tsv_escaped"](spark, str(tmp_path)).collect())) == [("1", ""), ("2", ""), ("3", "\x01a\x00"), ("4", None)]
+
+
+def test_semijoin_reads_lines_once(spark):
+    from lexiloom.queries import QUERIES
+
+    df = QUERIES["ngram_semijoin"](spark, "/root/testdata/sf0.001")
+    df.collect()
+    assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
