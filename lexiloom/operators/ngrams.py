@@ -13,20 +13,23 @@ SIZE, TOP = 5, 1_000_000
 
 def parse(lines: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """(ngram, year, match_count, book_count) and the columns ``keep`` of lines with exactly four tab-separated fields and three integers."""
-    # the pattern's groups are taken once a line, in one array; a filter on expressions would take them again for every column
-    parts = F.filter(F.array(F.split(column, "\t")), lambda f: F.size(f) == 4)
-    rows = lines.select(F.explode(parts).alias("_f"), *keep)
+    # exploded as an array of one, so the line is split once: a filter on the expression itself would split it again for every column
+    rows = lines.select(F.explode(F.array(F.split(column, "\t"))).alias("_f"), *keep).where("size(_f) = 4")
     number = lambda i, kind: F.trim(F.get("_f", i)).try_cast(kind)
-    fields = F.struct(F.get("_f", 0).alias("ngram"), number(1, "int").alias("year"), number(2, "bigint").alias("match_count"), number(3, "bigint").alias("book_count"))
-    whole = F.filter(F.array(fields), lambda r: r["year"].isNotNull() & r["match_count"].isNotNull() & r["book_count"].isNotNull())
-    return rows.select(F.inline(whole), *keep)
+    rows = rows.select(F.get("_f", 0).alias("ngram"), number(1, "int").alias("year"), number(2, "bigint").alias("match_count"), number(3, "bigint").alias("book_count"), *keep)
+    return rows.where("year is not null and match_count is not null and book_count is not null")
 
 
 def clean(df: DataFrame, size: int = SIZE) -> DataFrame:
     """With ngram_cleaned (no part-of-speech tags); only n-grams of ``size`` words stay."""
-    # exploded as an array of one: a filter on the expression itself would compute it twice
-    out = df.select("*", F.explode(F.array(strip_pos_tags(F.col("ngram")))).alias("ngram_cleaned"))
-    return out.where(F.col("ngram_cleaned").rlike(rf"\A *(?:[^ ]+ +){{{size - 1}}}[^ ]+ *\z"))
+    # nearly all are ASCII words with a tag at most, parted by single blanks: one look finds, counts and strips these, and marks them by a tab
+    word = "([!-^`-~]++)(?:_[!-^`-~]*+)?+"
+    plain = F.regexp_replace("ngram", rf"\A{' '.join([word] * size)}\z", "\t" + " ".join(f"${i + 1}" for i in range(size)))
+    marked = F.startswith("_p", F.lit("\t")) & ~F.startswith("ngram", F.lit("\t"))
+    # exploded as arrays of one: a filter on the expressions themselves would compute them twice
+    out = df.select("*", F.explode(F.array(plain)).alias("_p"))
+    out = out.select("*", F.explode(F.array(F.when(marked, F.expr("substring(_p, 2)")).otherwise(strip_pos_tags(F.col("ngram"))))).alias("ngram_cleaned"))
+    return out.where(marked | F.col("ngram_cleaned").rlike(rf"\A *+(?:[^ ]++ ++){{{size - 1}}}[^ ]++ *+\z")).drop("_p")
 
 
 def counts(df: DataFrame, ngram: str = "ngram_cleaned") -> DataFrame:

@@ -320,3 +320,14 @@ def test_semijoin_reads_lines_once(spark):
     df = QUERIES["ngram_semijoin"](spark, "/root/testdata/sf0.001")
     df.collect()
     assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ngram_steps_do_not_interpret_lambdas(spark):
+    odd = ["a_NOUN b c d e", "a b c d e_", "_ b c d e", "a__X b c d e", "a_b_X b c d e", "a  b c d e", " a b c d e ", "a b c d", "a b c d e f", "é_X b c d e", "a b c d e", "a \x1c b c d", "._. b c d e", "$1 \\ c d e"]
+    bad = ["a b c d e\tx\t1\t1", "a b c d e\t1\t1", "a b c d e\t1\t1\t1\t1", "a b c d e\t1\t\t1", "a b c d e\t1\t1\t1.5", None]
+    lines = spark.createDataFrame([(f"{o}\t 1999 \t{i}\t1",) for i, o in enumerate(odd)] + [(b,) for b in bad], "value string")
+    rows = ngrams.clean(ngrams.parse(lines))
+    got = {r.match_count: (r.ngram, r.year, r.book_count, r.ngram_cleaned) for r in rows.collect()}
+    want = {0: "a b c d e", 1: "a b c d e", 3: "a_ b c d e", 4: "a_b b c d e", 5: "a b c d e", 6: "a b c d e", 9: "é b c d e", 10: "a b c d e", 12: ". b c d e", 13: "$1 \\ c d e"}
+    assert got == {i: (odd[i], 1999, 1, w) for i, w in want.items()}
+    assert "lambda" not in rows._jdf.queryExecution().optimizedPlan().toString()
