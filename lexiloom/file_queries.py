@@ -68,7 +68,8 @@ def ngram_files(spark, d):
     """N-gram files found by their names; lines of a count of 0 or less are not summed."""
     path = folder(spark, "grams")
     none = spark.createDataFrame([("a b c d e\t1999\t0\t1",), ("a b c d e\t1999\t-4\t1",)], "value string")
-    lines(ngram_lines(spark, d).unionByName(none), f"{path}/eng-5gram-all")
+    # the lines are seven times the input; packed files do not split, so each holds a million lines at most
+    ngram_lines(spark, d).unionByName(none).write.options(compression="gzip", maxRecordsPerFile=1_000_000).text(f"{path}/eng-5gram-all")
     rows = ngrams.clean(readers.ngram_lines(spark, f"{path}/eng-5gram-all", "part*"))
     return ngrams.counts(rows).groupBy("match_count").agg(F.count("*").alias("n_grams"))
 

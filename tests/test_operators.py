@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -331,3 +332,14 @@ def test_ngram_steps_do_not_interpret_lambdas(spark):
     want = {0: "a b c d e", 1: "a b c d e", 3: "a_ b c d e", 4: "a_b b c d e", 5: "a b c d e", 6: "a b c d e", 9: "é b c d e", 10: "a b c d e", 12: ". b c d e", 13: "$1 \\ c d e"}
     assert got == {i: (odd[i], 1999, 1, w) for i, w in want.items()}
     assert "lambda" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ngram_files_are_packed(spark, monkeypatch):
+    from lexiloom import file_queries
+
+    made = []
+    folder = file_queries.folder
+    monkeypatch.setattr(file_queries, "folder", lambda *a: made.append(folder(*a)) or made[-1])
+    file_queries.ngram_files(spark, "/root/testdata/sf0.001")
+    files = [f.name for f in Path(made[0].removeprefix("file://")).rglob("part*")]
+    assert files and all(f.endswith(".gz") for f in files)
